@@ -1,26 +1,28 @@
 """Evaluation texts that leaked into documents, by a distributed positional inverted index.
 
-Every run of 13 consecutive words of an item (all its words, if it has fewer) is a window. Of each window the `ANCHORS` rarest terms by
-document frequency are looked up. The index holds, per (term, doc_id), the sorted positions of the term in the document; it is written
-to the shared folder, by term. The list of a window's rarest term, less the term's offset in the window, gives the places where the
-window may begin; the lists of its other terms must have a position at the fitting offset. What is left is compared word by word.
+Every run of 13 consecutive words of an item (all its words, if it has fewer) is a window. A window that a document holds shows its
+two rarest terms, by document frequency, at their distance. The index holds, per (term, doc_id), the sorted positions of those terms
+in the document; it is written to the shared folder. The list of a window's rarest term, moved by the distance to its second rarest,
+is intersected with that term's list. What is left names a document, an item and the shift between their positions; there the words
+are compared one by one, so that exactly the phrases remain.
 
 Defined cases: items without words and documents without words match nothing; a null text is an empty text; items with equal passages
 are all reported; a window with a term that no document holds is dropped before any lookup; empty tables give no rows.
 
-Scale: a document sends on only the positions of terms that are some window's rarest, never its text. Only documents with a surviving
+Scale: a document sends on only the positions of terms that are among some window's two rarest, never its text, and an intersection
+is an equal join on (document, term, position), so a frequent term or a long document is no hot spot. Only documents with a surviving
 place are read again for the comparison. Windows and terms of the items are broadcast after a check of their number, else shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.core.runtime import broadcast_checked, durable
 from folioscope.llm.text import words_column
 
-RUN, ANCHORS = 13, 3
+RUN = 13
 #: Words within which the rarest terms of an item must stand together for a proximity match.
 NEAR = 26
 
@@ -30,10 +32,10 @@ def item_words(items: DataFrame) -> DataFrame:
 
 
 def windows(items: DataFrame, run: int = RUN) -> DataFrame:
-    """`window_id, item_id, words`: the runs of `run` words of each item, or all its words."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - run + 1, F.lit(1)))
+    """`item_id, at, words`: the runs of `run` words of each item with the place of their first word from 0, or all its words."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - run, F.lit(0)))
     each = item_words(items).select("item_id", "words", F.explode(starts).alias("at"))
-    return each.select(F.xxhash64("item_id", "at").alias("window_id"), "item_id", F.slice("words", F.col("at"), run).alias("words"))
+    return each.select("item_id", "at", F.slice("words", F.col("at") + 1, run).alias("words"))
 
 
 def document_words(documents: DataFrame) -> DataFrame:
@@ -46,45 +48,62 @@ def frequencies(documents: DataFrame, terms: DataFrame) -> DataFrame:
     return each.join(broadcast_checked(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
 
 
-def anchors(wins: DataFrame, df: DataFrame, n: int = ANCHORS) -> DataFrame:
-    """`window_id, item_id, words, a`: the `n` rarest distinct terms of each window with their offsets, rarest first."""
-    each = wins.select("window_id", F.posexplode("words").alias("offset", "term")).join(broadcast_checked(df), "term", "left")
-    once = each.groupBy("window_id", "term").agg(F.min("offset").alias("offset"), F.min("df").alias("df"))
-    ranked = once.groupBy("window_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "offset"))).alias("a"))
-    return wins.join(ranked.filter(F.col("a")[0]["df"] > 0), "window_id").withColumn("a", F.slice("a", 1, n))
+def term_id(term: str = "term") -> Column:
+    """Terms travel as 64-bit hashes; an equal hash of two terms would only add a place to compare."""
+    return F.xxhash64(term)
+
+
+def anchors(wins: DataFrame, df: DataFrame) -> DataFrame:
+    """`item_id, place, t1, t2, step`: of each window its rarest term with its place in the item, and its second rarest `step` words on.
+
+    Windows over the same two words are one row; a window of one single term has that term as both, at step 0.
+    """
+    each = wins.select("item_id", "at", F.posexplode("words").alias("offset", "term")).join(broadcast_checked(df), "term", "left")
+    once = each.groupBy("item_id", "at", term_id().alias("t")).agg(F.min("offset").alias("offset"), F.coalesce(F.min("df"), F.lit(0)).alias("df"))
+    ranked = once.groupBy("item_id", "at").agg(F.array_sort(F.collect_list(F.struct("df", "t", "offset"))).alias("a")).filter(F.col("a")[0]["df"] > 0)
+    first, second = F.col("a")[0], F.coalesce(F.get("a", F.lit(1)), F.col("a")[0])
+    return ranked.select("item_id", (F.col("at") + first["offset"]).alias("place"), first["t"].alias("t1"), second["t"].alias("t2"), (second["offset"] - first["offset"]).alias("step")).distinct()
 
 
 def postings(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """The positional index of `terms`: `term, doc_id, positions`, positions from 0, ascending; spread by term and document."""
-    each = document_words(documents).select("doc_id", F.posexplode("words").alias("pos", "term"))
-    return each.join(broadcast_checked(terms), "term").groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-
-
-def phrase_places(anchored: DataFrame, index: DataFrame, n: int = ANCHORS) -> DataFrame:
-    """`window_id, item_id, words, doc_id, start`: where all anchors of a window stand at their offsets."""
-    a = F.col("a")
-    rarest = anchored.withColumn("term", a[0]["term"])
-    places = rarest.join(index, "term").select("window_id", "item_id", "words", "a", "doc_id", F.explode("positions").alias("pos"))
-    places = places.withColumn("start", F.col("pos") - a[0]["offset"]).filter("start >= 0").drop("pos")
-    for k in range(1, n):
-        few = places.filter(F.size("a") <= k)
-        more = places.filter(F.size("a") > k).withColumn("term", a[k]["term"])
-        met = more.join(index, ["doc_id", "term"]).filter(F.array_contains("positions", F.col("start") + a[k]["offset"]))
-        places = met.select(*places.columns).unionByName(few)
-    return places.drop("a")
-
-
-def phrase_matches(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """`doc_id, item_id, window_id, start` of every exact occurrence of a window."""
-    wins = durable(windows(items))
-    df = durable(frequencies(documents, wins.select(F.explode("words").alias("term")).distinct()))
+    """The positional index of `terms` (`t`): `t, doc_id, positions`, positions from 0, ascending; spread by term and document."""
+    each = document_words(documents).select("doc_id", F.posexplode("words").alias("pos", "term")).select("doc_id", "pos", term_id().alias("t"))
+    return each.join(broadcast_checked(terms), "t").groupBy("t", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+
+
+def phrase_places(anchored: DataFrame, index: DataFrame) -> DataFrame:
+    """`doc_id, item_id, shift, low, high`: where both terms of a window stand at their distance.
+
+    `shift` is the place in the document less that in the item; the terms found lie from `low` to `high` in the item.
+    """
+    lists = index.select("t", "doc_id", F.explode("positions").alias("pos"))
+    moves = broadcast_checked(durable(anchored.select("t1", "t2", "step").distinct()))
+    moved = lists.withColumnRenamed("t", "t1").join(moves, "t1").select("doc_id", "t1", "t2", "step", "pos", (F.col("pos") + F.col("step")).alias("there"))
+    second = lists.select(F.col("t").alias("t2"), "doc_id", F.col("pos").alias("there"))
+    met = moved.join(second, ["doc_id", "t2", "there"]).select("doc_id", "t1", "t2", "step", "pos")
+    met = met.join(broadcast_checked(anchored), ["t1", "t2", "step"])
+    shift, other = (F.col("pos") - F.col("place")).alias("shift"), F.col("place") + F.col("step")
+    return met.groupBy("doc_id", "item_id", shift).agg(F.min(F.least("place", other)).alias("low"), F.max(F.greatest("place", other)).alias("high"))
+
+
+def phrase_matches(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
+    """`doc_id, item_id, shift, start`: the windows of an item, by their first word's place in it, that a document holds at this shift."""
+    wins = windows(items, run)
+    df = durable(frequencies(documents, durable(wins.select(F.explode("words").alias("term")).distinct())))
     anchored = durable(anchors(wins, df))
-    index = durable(postings(documents, anchored.select(F.explode("a.term").alias("term")).distinct()))
+    index = durable(postings(documents, durable(anchored.select(F.explode(F.array("t1", "t2")).alias("t")).distinct())))
     places = durable(phrase_places(anchored, index))
     concerned = documents.join(broadcast_checked(places.select("doc_id").distinct()), "doc_id", "left_semi")
-    met = document_words(concerned).withColumnRenamed("words", "text_words").join(places, "doc_id")
-    exact = F.slice("text_words", F.col("start") + 1, F.size("words")) == F.col("words")
-    return met.filter(exact).select("doc_id", "item_id", "window_id", "start")
+    met = document_words(concerned).withColumnRenamed("words", "text_words").join(places, "doc_id").join(broadcast_checked(item_words(items)), "item_id")
+    # only windows that reach the terms found can hold them
+    n = F.least(F.size("words"), F.lit(run))
+    first, last = F.greatest(F.col("low") - run + 1, -F.col("shift"), F.lit(0)), F.least("high", F.size("words") - n)
+    tried = F.when(first <= last, F.sequence(first, last))
+    # at least n words about the place agree, else no window can
+    about = F.when(first <= last, F.sequence(first, last + n - 1))
+    met = met.filter(F.size(F.filter(about, lambda p: F.get("words", p) == F.get("text_words", p + F.col("shift")))) >= n)
+    same = F.filter(tried, lambda w: F.slice("text_words", w + F.col("shift") + 1, n) == F.slice("words", w + 1, n))
+    return met.select("doc_id", "item_id", "shift", F.explode(same).alias("start"))
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -93,9 +112,9 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """Per (document, item): number of matched windows of the item, their share of all its windows, and the first place."""
+    """Per (document, item): number of matched windows of the item, their share of all its windows, and the first place in the document."""
     n = windows(items).groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    per = phrase_matches(documents, items).groupBy("doc_id", "item_id").agg(F.countDistinct("window_id").alias("matched"), F.min("start").alias("first_word"))
+    per = phrase_matches(documents, items).groupBy("doc_id", "item_id").agg(F.countDistinct("start").alias("matched"), F.min(F.col("start") + F.col("shift")).alias("first_word"))
     return per.join(broadcast_checked(n), "item_id").select("doc_id", "item_id", "matched", "n_windows", (F.col("matched") / F.col("n_windows")).alias("coverage"), "first_word")
 
 
@@ -107,9 +126,10 @@ def proximity(documents: DataFrame, items: DataFrame, near: int = NEAR) -> DataF
     each = item_words(items).select("item_id", F.explode(F.array_distinct("words")).alias("term"))
     df = durable(frequencies(documents, each.select("term").distinct()))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "term"))
-    chosen = durable(each.join(broadcast_checked(df), "term").withColumn("slot", rank).filter("slot <= 3").select("item_id", "term", "slot"))
-    index = postings(documents, chosen.select("term").distinct())
+    chosen = each.join(broadcast_checked(df), "term").withColumn("slot", rank).filter("slot <= 3")
+    chosen = durable(chosen.select("item_id", "slot", term_id().alias("t")))
+    index = postings(documents, chosen.select("t").distinct())
     pos = lambda k: F.max(F.when(F.col("slot") == k, F.col("positions"))).alias(f"p{k}")
-    met = index.join(broadcast_checked(chosen), "term").groupBy("doc_id", "item_id").agg(pos(1), pos(2), pos(3)).dropna(subset=["p1", "p2", "p3"])
+    met = index.join(broadcast_checked(chosen), "t").groupBy("doc_id", "item_id").agg(pos(1), pos(2), pos(3)).dropna(subset=["p1", "p2", "p3"])
     close = F.exists("p1", lambda a: F.exists("p2", lambda b: (F.abs(a - b) < near) & F.exists("p3", lambda c: (F.greatest(a, b, c) - F.least(a, b, c)) < near)))
     return met.filter(close).select("doc_id", "item_id")
