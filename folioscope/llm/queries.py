@@ -1,11 +1,27 @@
 """Queries over pages and documents, with the SQL of those that SQL can express on whole tables."""
 
 from folioscope.core.runtime import table
-from folioscope.llm import leaks, near_duplicates, repeated_lines, repetition
+from folioscope.llm import boilerplate, leaks, near_duplicates, packing, repeated_lines, repetition, residue
 
 PAGES = ("page_id", "text", "url", "loaded_at")
 
 
+def p3_found(spark, sf_dir):
+    return boilerplate.surroundings(table(spark, sf_dir, "pages", *PAGES))
+
+
+def p3_main_content(spark, sf_dir):
+    return boilerplate.main_content(table(spark, sf_dir, "pages", *PAGES))
+
+
+def p4_found(spark, sf_dir):
+    return residue.residue_pages(table(spark, sf_dir, "pages", "page_id", "text"))
+
+
+def p4_report(spark, sf_dir):
+    return residue.residue_report(table(spark, sf_dir, "pages", "page_id", "text"))
+
+
 def p5_found(spark, sf_dir):
     return near_duplicates.pairs(table(spark, sf_dir, "pages", *PAGES))
 
@@ -22,6 +38,14 @@ def p6_rebuilt(spark, sf_dir):
     return repeated_lines.rebuilt_pages(table(spark, sf_dir, "pages", *PAGES))
 
 
+def p7_packed(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "containers"))
+
+
+def p7_usage(spark, sf_dir):
+    return packing.usage(p7_packed(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
 def p8_found(spark, sf_dir):
     return leaks.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items"))
 
@@ -47,10 +71,16 @@ def p9_outliers(spark, sf_dir):
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_main_content": p3_main_content,
+    "p4_found": p4_found,
+    "p4_report": p4_report,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_rebuilt": p6_rebuilt,
+    "p7_packed": p7_packed,
+    "p7_usage": p7_usage,
     "p8_found": p8_found,
     "p8_report": p8_report,
     "p8_proximity": p8_proximity,

@@ -60,8 +60,9 @@ def most_frequent(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(len(counts)), counts)
     out = np.zeros(len(counts), np.int64)
     if len(hashes):
-        key = np.sort(hashes ^ mix(owner.astype(np.uint64) + np.uint64(1)))  # only to count; owners follow below
-        order = np.argsort(hashes ^ mix(owner.astype(np.uint64) + np.uint64(1)), kind="stable")
+        key = hashes ^ mix(owner.astype(np.uint64) + np.uint64(1))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         np.maximum.at(out, owner[order[starts]], np.diff(np.r_[starts, len(key)]))
     return out
