@@ -1,11 +1,23 @@
 """Queries over pages and documents, with the SQL of those that SQL can express on whole tables."""
 
 from folioscope.core.runtime import table
-from folioscope.llm import boilerplate, leaks, near_duplicates, packing, repeated_lines, repetition, residue
+from folioscope.llm import boilerplate, leaks, markup, near_duplicates, packing, repeated_lines, repetition, residue
 
 PAGES = ("page_id", "text", "url", "loaded_at")
 
 
+def p2_found(spark, sf_dir):
+    return markup.notations(table(spark, sf_dir, "pages", "page_id", "text"))
+
+
+def p2_clean(spark, sf_dir):
+    return markup.clean_text(table(spark, sf_dir, "pages", *PAGES))
+
+
+def p2_path_ratios(spark, sf_dir):
+    return markup.path_ratios(table(spark, sf_dir, "pages", "page_id", "text"))
+
+
 def p3_found(spark, sf_dir):
     return boilerplate.surroundings(table(spark, sf_dir, "pages", *PAGES))
 
@@ -71,6 +83,9 @@ def p9_outliers(spark, sf_dir):
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_clean": p2_clean,
+    "p2_path_ratios": p2_path_ratios,
     "p3_found": p3_found,
     "p3_main_content": p3_main_content,
     "p4_found": p4_found,
