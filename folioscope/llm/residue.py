@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.text import WORD
+
 #: Share of a window's weight, and of an exemplar's, from which a window is residue.
 WINDOW_COVERED, EXEMPLAR_COVERED = 0.75, 0.7
 #: The same for filler, whose exemplars are vocabularies rather than texts: only the window counts, from so many words on.
@@ -122,6 +124,7 @@ COUNTER = [
 ]
 
 TERM = re.compile(r"§value|§host|[^\W_]+")
+DOMAIN = re.compile(r"\.(?:example|com|org|net|io|dev)\b", re.I)
 HOST = re.compile(r"\b(?:https?://)?[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net|io|dev)\b(?:/\S*)?", re.I)
 #: Values that a template left unfilled, by the notations of common template languages.
 VALUE = re.compile(
@@ -131,22 +134,38 @@ VALUE = re.compile(
     r"|(?<![\w.])(?:undefined|NaN|null)(?![\w(])",
     re.I,
 )
-CODE = re.compile(
-    r"\A---[ \t\r]*\n.*?\n---[ \t\r]*$|^[ \t>]*(?P<f>`{3,}|~{3,})[^\n]*\n.*?(?:^[ \t>]*(?P=f)[`~]*[ \t\r]*$|\Z)|<pre\b.*?</pre\s*>|\\begin\{(?P<v>verbatim|lstlisting|minted)\}.*?\\end\{(?P=v)\}"
-    r"|<(?P<t>code|kbd|samp|tt|nowiki|syntaxhighlight|source|script|style)\b.*?</(?P=t)\s*>|(?P<b>`+)[^`\n]+(?P=b)|\\(?:texttt|verb|lstinline)\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}|^(?: {4}|\t)[ \t]*[^\s<][^\n]*$|<!--.*?-->",
-    re.S | re.M | re.I,
-)
+#: A line without any of these has no unfilled value.
+SIGNS = re.compile(r"[{}\[%$#@(]|undefined|NaN|NAN|null|UNDEFINED|NULL")
+#: Code of each notation with the signs without which a text has none of it.
+CODE = [
+    (("```", "~~~"), re.compile(r"^[ \t>]*(?P<f>`{3,}|~{3,})[^\n]*\n.*?(?:^[ \t>]*(?P=f)[`~]*[ \t\r]*$|\Z)", re.S | re.M)),
+    (("<pre", "<PRE"), re.compile(r"<pre\b.*?</pre\s*>", re.S | re.I)),
+    (("\\begin{",), re.compile(r"\\begin\{(?P<v>verbatim|lstlisting|minted)\}.*?\\end\{(?P=v)\}", re.S)),
+    (("<code", "<CODE", "<kbd", "<samp", "<tt", "<nowiki", "<syntax", "<source", "<script", "<style"), re.compile(r"<(?P<t>code|kbd|samp|tt|nowiki|syntaxhighlight|source|script|style)\b.*?</(?P=t)\s*>", re.S | re.I)),
+    (("`",), re.compile(r"(?P<b>`+)[^`\n]+(?P=b)")),
+    (("\\texttt{", "\\verb{", "\\lstinline{"), re.compile(r"\\(?:texttt|verb|lstinline)\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}")),
+    (("\n    ", "\n\t"), re.compile(r"^(?: {4}|\t)[ \t]*[^\s<][^\n]*$", re.M)),
+    (("<!--",), re.compile(r"<!--.*?-->", re.S)),
+]
 TAG = re.compile(r"</?[A-Za-z][^<>]*>|\\(?:begin|end|section|subsection|subsubsection|emph|textbf|item|title)\b\*?")
 
 
 def strip_code(text: str) -> str:
     """The text without code, inline code, comments and front matter; lines stay."""
-    return CODE.sub(lambda m: " ` " + "\n" * m[0].count("\n"), text)
+    if text.startswith("---"):
+        end = text.find("\n---", 3)
+        if end > 0:
+            end = text.find("\n", end + 1)
+            text = text[end:] if end > 0 else ""
+    for signs, pattern in CODE:
+        if any(s in text for s in signs):
+            text = pattern.sub(lambda m: " ` " + "\n" * m[0].count("\n"), text)
+    return text
 
 
 def terms(text: str) -> list[str]:
     """Lower-cased words; numbers and identifiers with digits read as 0."""
-    return ["0" if any(c.isdigit() for c in w) else w for w in TERM.findall(text.lower())]
+    return [w if w.isalpha() or w[0] == "§" else "0" for w in TERM.findall(text.lower())]
 
 
 def windows(text: str):
@@ -154,8 +173,9 @@ def windows(text: str):
     for line in strip_code(text).split("\n"):
         if not line or line.isspace():
             continue
-        line = HOST.sub(" §host ", line) if "." in line else line
-        if len(line) > 2 and VALUE.search(line):
+        if "." in line and DOMAIN.search(line):
+            line = HOST.sub(" §host ", line)
+        if SIGNS.search(line):
             line = VALUE.sub(_value, line)
         if "<" in line or "\\" in line:
             line = TAG.sub(" ", line)
@@ -243,17 +263,14 @@ def _present(batches):
         ids, found = [], []
         for page, text in zip(batch.column("page_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             if text:
-                held: set[str] = set()
-                for w in windows(text):
-                    held.update(w)
-                held &= wanted
+                held = wanted.intersection(WORD.findall(text.lower()))
                 ids += [page] * len(held)
                 found += held
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["page_id", "term"])
 
 
 def frequencies(pages: DataFrame) -> dict[str, int]:
-    """In how many deliveries of pages each term of the exemplars occurs; at most as many rows as the exemplars have terms."""
+    """In how many deliveries of pages each term, code included, of the exemplars occurs; at most as many rows as the exemplars have terms."""
     return {r["term"]: r["n"] for r in pages.select("page_id", "text").mapInArrow(_present, "page_id bigint, term string").groupBy("term").agg(F.count("*").alias("n")).collect()}
 
 
