@@ -59,3 +59,12 @@ def broadcast_checked(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     `df` is computed once more for the check, so it should be a small table, an aggregate of one, or durable.
     """
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan for costly work on each row: over all cores, where the files alone make fewer tasks than there are cores.
+
+    Larger inputs come in more splits than cores and stay as they are. Only for scans: a plan with a shuffle would run for the count.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
