@@ -233,7 +233,7 @@ class Exemplars:
         for i in sorted(common):
             covered, held = common[i] / whole, common[i] / self.total[i]
             if self.kinds[i] == "filler":
-                hit = covered >= FILLER_COVERED and len(window) >= FILLER_WORDS
+                hit = covered >= FILLER_COVERED and len(window) >= FILLER_WORDS and len(known & self.sets[i] & self.key) >= 2
             elif self.kinds[i] in ("explained", "value"):
                 against = max(against, held if self.kinds[i] == "explained" else 0.0)
                 continue
