@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import snapshot_queries
+from folioscope.plans import snapshot_queries, structure_queries, style_queries
 
-MODULES = [snapshot_queries]
+MODULES = [snapshot_queries, style_queries, structure_queries]
 
 
 def queries() -> dict:
