@@ -31,17 +31,18 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)<[^>]+>", "")
 
 
-def to_markdown(text: Column) -> Column:
-    """The page's Markdown, entities still escaped: surroundings dropped, pre as fences, code as spans, headings as #, blocks as lines."""
-    out = text
-    for tag in DROPPED:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}>", "")
-    out = M.replace_each(out, r"(?is)<pre\b[^>]*>.*?</pre>", lambda m: F.concat(F.lit("\n```\n"), _strip(m), F.lit("\n```\n")))
-    out = M.replace_each(out, r"(?is)<code\b[^>]*>.*?</code>", lambda m: F.concat(F.lit("`"), _strip(m), F.lit("`")))
-    for n in range(1, 7):
-        out = M.replace_each(out, rf"(?is)<h{n}\b[^>]*>.*?</h{n}>", lambda m, n=n: F.concat(F.lit("\n" + "#" * n + " "), F.trim(_strip(m)), F.lit("\n")))
-    out = F.regexp_replace(out, r"(?i)</(?:p|div|li|tr)>", "\n")
-    return _strip(out)
+def _each(pattern: str, change):
+    return lambda c: M.replace_each(c, pattern, change)
+
+
+#: From HTML to Markdown with entities still escaped: surroundings dropped, pre as fences, code as spans, headings as #, blocks as lines, other tags gone.
+STEPS = [
+    lambda c: M.chained(c, [lambda x, t=t: F.regexp_replace(x, rf"(?is)<{t}\b.*?</{t}>", "") for t in DROPPED]),
+    _each(r"(?is)<pre\b[^>]*>.*?</pre>", lambda m: F.concat(F.lit("\n```\n"), _strip(m), F.lit("\n```\n"))),
+    _each(r"(?is)<code\b[^>]*>.*?</code>", lambda m: F.concat(F.lit("`"), _strip(m), F.lit("`"))),
+    _each(r"(?is)<h([1-6])\b[^>]*>.*?</h\1>", lambda m: F.concat(F.lit("\n"), F.repeat(F.lit("#"), F.substring(m, 3, 1).cast("int")), F.lit(" "), F.trim(_strip(m)), F.lit("\n"))),
+    lambda c: _strip(F.regexp_replace(c, r"(?i)</(?:p|div|li|tr)>", "\n")),
+]
 
 
 def tidy(text: Column) -> Column:
@@ -52,10 +53,10 @@ def tidy(text: Column) -> Column:
 
 def markdown(pages: DataFrame) -> DataFrame:
     """`page, markdown` of HTML pages (`page`, `text`)."""
-    steps = pages.select("page", "text")
-    # one generator per step: each looks at its input more than once
-    steps = M.once(steps, _m=to_markdown(F.col("text"))).select("page", "_m")
-    return M.once(steps, _u=unescape(F.col("_m"))).select("page", tidy(F.col("_u")).alias("markdown"))
+    rows = pages.select("page", F.col("text").alias("_m"))
+    for step in STEPS:  # one generator each, as a step looks at its input more than once
+        rows = M.once(rows, _n=step(F.col("_m"))).select("page", F.col("_n").alias("_m"))
+    return rows.select("page", unescape("_m").alias("_u")).select("page", tidy(F.col("_u")).alias("markdown"))
 
 
 def links(pages: DataFrame) -> DataFrame:

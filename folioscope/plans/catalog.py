@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.plans import snapshot_queries, structure_queries, style_queries
+from folioscope.plans import drift_queries, page_queries, run_queries, snapshot_queries, structure_queries, style_queries
 
-MODULES = [snapshot_queries, style_queries, structure_queries]
+MODULES = [snapshot_queries, style_queries, structure_queries, drift_queries, run_queries, page_queries]
 
 
 def queries() -> dict:
