@@ -3,8 +3,8 @@
 A page is cut into containers: an element with all its lines (menu, footer, a classed block), a titled list with its title, or a single
 line. Each container gets a generalised tag-class path: its tag with class, id or role; for lines without such a name the kind of line
 with its words, digits read as 0, so that a line that changes only in dates or numbers keeps its path; breadcrumbs and pagers, whose
-words change with every page, by their shape. Each page scores its containers: 1 if no running text stands before or none after
-it, or if it is a list of the page's own headings; else 0. Per host, the pages vote: a path wins as surroundings if enough of the
+words change with every page, by their shape. Each page scores its containers: 1 if no heading or running text stands before or
+none after it, or if it is a list of the page's own headings; else 0. Per host, the pages vote: a path wins as surroundings if enough of the
 host's pages have it and its mean score passes `WINNING` (for titled lists `WINNING_LIST`, as they also stand between paragraphs).
 Bylines, legal notes and share prompts repeat just as often, but among the text, so they lose the vote. Winning paths are then taken
 out of every page of the host.
@@ -13,7 +13,7 @@ Where fewer pages of a host have a path than a vote needs, all hosts that have i
 
 A page without url goes by the host whose own winning paths it shares most; if it shares none, nothing is taken out.
 
-Defined cases: null and empty texts have no lines; front matter, code blocks, headings, wrappers of the main body and blank lines
+Defined cases: rows without page_id are left out; null and empty texts have no lines; front matter, code blocks, headings, wrappers of the main body and blank lines
 are never surroundings; a path that fewer than `LEAST_PAGES` pages have stays; of several deliveries of a page the one with the
 greatest `loaded_at` counts; an empty table gives no rows.
 
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.core.runtime import broadcast_checked, durable
-from folioscope.llm.text import WORD, latest, site_column
+from folioscope.llm.text import WORD, identified, latest, site_column
 
 LEAST_PAGES, LEAST_PERCENT = 4, 1
 LEAST_HOSTS = 2
@@ -41,6 +41,8 @@ WINNING, WINNING_LIST = 0.82, 0.5
 DOUBT = 0.5
 #: Words from which a line counts as running text, and above which a line without a named element has no path.
 RUNNING, MOST_WORDS = 10, 24
+#: Headings and lines of running text that a page needs to vote.
+LEAST_TEXT = 3
 
 TAG = re.compile(r"<[^<>]*>")
 DIGITS = re.compile(r"\d+")
@@ -133,7 +135,11 @@ class Lines:
             if indented[i] and line[0] != "<":  # a code block
                 i += 1
                 continue
-            if NEVER.match(line) or HEADING.match(line) or (i + 1 < n and lines[i + 1][:3] in ("---", "===") and not lines[i + 1].strip("-=")):
+            if HEADING.match(line):
+                self.total += 1
+                i += 1
+                continue
+            if NEVER.match(line) or (i + 1 < n and lines[i + 1][:3] in ("---", "===") and not lines[i + 1].strip("-=")):
                 i += 1
                 continue
             if line[0] == "<":
@@ -209,8 +215,8 @@ class Lines:
         return k
 
     def scores(self) -> list[int | None]:
-        """A page without running text has no middle, and no say."""
-        if not self.total:
+        """A page with hardly any text has no middle, and no say."""
+        if self.total < LEAST_TEXT:
             return [None] * len(self.no)
         return [int(t or b == 0 or self.total == b) for b, t in zip(self.before, self.toc, strict=True)]
 
@@ -240,7 +246,7 @@ LINES = "array<struct<line_no:int,path:bigint,score:tinyint,titled:boolean,is_fi
 
 def page_paths(pages: DataFrame) -> DataFrame:
     """`page_id, site, lines` of each page; `site` is null where the url is missing."""
-    rows = pages.select("page_id", F.col("loaded_at").cast("timestamp").alias("loaded_at"), site_column(F.col("url")).alias("site"), "text")
+    rows = identified(pages, "page_id").select("page_id", F.col("loaded_at").cast("timestamp").alias("loaded_at"), site_column(F.col("url")).alias("site"), "text")
     return latest(rows.mapInArrow(_paths, f"page_id bigint, loaded_at timestamp, site string, lines {LINES}"), "page_id", "loaded_at", ["site", "lines"])
 
 
@@ -287,7 +293,7 @@ def surroundings(pages: DataFrame) -> DataFrame:
 def main_content(pages: DataFrame) -> DataFrame:
     """`page_id, n_dropped, text`: every page without its surroundings; runs of blank lines that this leaves become one."""
     drop = surroundings(pages).groupBy("page_id").agg(F.collect_set("line_no").alias("drop"))
-    texts = latest(pages.select("page_id", "loaded_at", F.coalesce("text", F.lit("")).alias("text")), "page_id", "loaded_at", ["text"])
+    texts = latest(identified(pages, "page_id").select("page_id", "loaded_at", F.coalesce("text", F.lit("")).alias("text")), "page_id", "loaded_at", ["text"])
     met = texts.join(drop, "page_id", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<int>")))
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("drop", (i + 1).cast("int")))
     clean = F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n(?:[ \t\r]*\n){2,}", "\n\n"))

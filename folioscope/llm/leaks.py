@@ -6,7 +6,7 @@ in the document; it is written to the shared folder. The list of a window's rare
 is intersected with that term's list. What is left names a document, an item and the shift between their positions; there the words
 are compared one by one, so that exactly the phrases remain.
 
-Defined cases: items without words and documents without words match nothing; a null text is an empty text; items with equal passages
+Defined cases: rows without id are left out; items without words and documents without words match nothing; a null text is an empty text; items with equal passages
 are all reported; a window with a term that no document holds is dropped before any lookup; empty tables give no rows.
 
 Scale: a document sends on only the positions of terms that are among some window's two rarest, never its text, and an intersection
@@ -20,15 +20,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.core.runtime import broadcast_checked, durable
-from folioscope.llm.text import words_column
+from folioscope.llm.text import identified, words_column
 
 RUN = 13
 #: Words within which the rarest terms of an item must stand together for a proximity match.
 NEAR = 26
+#: Words of a document whose places are compared together.
+BLOCK = 4096
 
 
 def item_words(items: DataFrame) -> DataFrame:
-    return items.select("item_id", words_column(F.col("text")).alias("words")).filter(F.size("words") > 0)
+    return identified(items, "item_id").select("item_id", words_column(F.col("text")).alias("words")).filter(F.size("words") > 0)
 
 
 def windows(items: DataFrame, run: int = RUN) -> DataFrame:
@@ -39,7 +41,7 @@ def windows(items: DataFrame, run: int = RUN) -> DataFrame:
 
 
 def document_words(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", words_column(F.coalesce("text", F.lit(""))).alias("words"))
+    return identified(documents, "doc_id").select("doc_id", words_column(F.coalesce("text", F.lit(""))).alias("words"))
 
 
 def frequencies(documents: DataFrame, terms: DataFrame) -> DataFrame:
@@ -93,17 +95,24 @@ def phrase_matches(documents: DataFrame, items: DataFrame, run: int = RUN) -> Da
     anchored = durable(anchors(wins, df))
     index = durable(postings(documents, durable(anchored.select(F.explode(F.array("t1", "t2")).alias("t")).distinct())))
     places = durable(phrase_places(anchored, index))
-    concerned = documents.join(broadcast_checked(places.select("doc_id").distinct()), "doc_id", "left_semi")
-    met = document_words(concerned).withColumnRenamed("words", "text_words").join(places, "doc_id").join(broadcast_checked(item_words(items)), "item_id")
-    # only windows that reach the terms found can hold them
+    # only windows that reach the terms found can hold them; `first` to `last` are their first words' places in the item
+    known = broadcast_checked(durable(item_words(items)))
     n = F.least(F.size("words"), F.lit(run))
-    first, last = F.greatest(F.col("low") - run + 1, -F.col("shift"), F.lit(0)), F.least("high", F.size("words") - n)
-    tried = F.when(first <= last, F.sequence(first, last))
+    reach = places.join(known, "item_id").withColumn("n", n)
+    first, last = F.greatest(F.col("low") - run + 1, -F.col("shift"), F.lit(0)), F.least(F.col("high"), F.size("words") - F.col("n"))
+    tried = reach.select("doc_id", "item_id", "shift", "n", first.alias("first"), last.alias("last")).filter("first <= last")
+    # a long document is compared block by block: each place takes along the few words about it, not the document
+    place = F.struct("item_id", "shift", "n", "first", "last")
+    blocks = tried.groupBy("doc_id", F.floor((F.col("first") + F.col("shift")) / BLOCK).cast("int").alias("block")).agg(F.collect_list(place).alias("places"))
+    concerned = documents.join(broadcast_checked(durable(blocks.select("doc_id").distinct())), "doc_id", "left_semi")
+    met = document_words(concerned).join(blocks, "doc_id")
+    about = F.transform("places", lambda p: F.struct(p.alias("p"), F.slice("words", p["first"] + p["shift"] + 1, p["last"] - p["first"] + p["n"]).alias("said")))
+    each = met.select("doc_id", F.explode(about).alias("x")).select("doc_id", "x.p.*", "x.said").join(known, "item_id")
+    meant = F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + F.col("n"))
     # at least n words about the place agree, else no window can
-    about = F.when(first <= last, F.sequence(first, last + n - 1))
-    met = met.filter(F.size(F.filter(about, lambda p: F.get("words", p) == F.get("text_words", p + F.col("shift")))) >= n)
-    same = F.filter(tried, lambda w: F.slice("text_words", w + F.col("shift") + 1, n) == F.slice("words", w + 1, n))
-    return met.select("doc_id", "item_id", "shift", F.explode(same).alias("start"))
+    each = each.filter(F.size(F.filter(F.arrays_zip("said", meant.alias("meant")), lambda x: x["said"] == x["meant"])) >= F.col("n"))
+    same = F.filter(F.sequence(F.col("first"), F.col("last")), lambda w: F.slice("said", w - F.col("first") + 1, F.col("n")) == F.slice("words", w + 1, F.col("n")))
+    return each.select("doc_id", "item_id", "shift", F.explode(same).alias("start"))
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ Pages with the same words in the same order form a class and take part once, by
 Pairs of two members of one star are candidates too: if both lie so near to the centre that the triangle inequality (1 - Jaccard is a
 metric) allows the threshold. What the inequality already proves isn't read again.
 
-Defined cases: pages with fewer than `LEAST_WORDS` words, and null texts, take no part; of several deliveries of a page the one
+Defined cases: rows without page_id, pages with fewer than `LEAST_WORDS` words, and null texts, take no part; of several deliveries of a page the one
 with the greatest `loaded_at` counts; ties between centres go to the least id; an empty table gives no rows.
 
 Scale: signatures are a few hundred bytes a page; stars bound the edges by bands x pages, whatever the size of a bucket; a hot bucket's
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.core.runtime import broadcast_checked, durable
-from folioscope.llm.text import hashed_words, latest, mix, run_hashes
+from folioscope.llm.text import hashed_words, identified, latest, mix, run_hashes
 
 RUN, LEAST_WORDS, SIMILARITY_PERCENT = 5, 100, 70
 BANDS, ROWS = 32, 4
@@ -75,7 +75,7 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 def _sequence_hash(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A hash of each text's words in their order."""
-    starts = np.r_[0, np.cumsum(counts)[:-1]]
+    starts = np.cumsum(counts) - counts
     place = np.arange(len(hashes)) - np.repeat(starts, counts)
     with np.errstate(over="ignore"):
         terms = mix(hashes ^ mix(place.astype(np.uint64) + np.uint64(7)))
@@ -106,7 +106,7 @@ def _signatures(batches):
 
 def signatures(pages: DataFrame) -> DataFrame:
     """`page_id, words_hash, bands` of pages of at least `LEAST_WORDS` words."""
-    rows = pages.select("page_id", F.col("loaded_at").cast("timestamp").alias("loaded_at"), "text")
+    rows = identified(pages, "page_id").select("page_id", F.col("loaded_at").cast("timestamp").alias("loaded_at"), "text")
     made = rows.mapInArrow(_signatures, "page_id bigint, loaded_at timestamp, words_hash bigint, bands array<bigint>")
     return latest(made, "page_id", "loaded_at", ["words_hash", "bands"])
 

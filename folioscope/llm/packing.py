@@ -6,7 +6,7 @@ the seed's weightiest terms fill its window greedily, best score first, as long
 documents that fit, so that little stays empty. A document over the capacity is cut into full pieces, which have containers of their
 own, and a rest that is packed like a document. Nothing else is ever split.
 
-Defined cases: a document without tokens (null or empty text) is reported once per kind with no container and 0 tokens; a container
+Defined cases: rows without doc_id are left out; a document without tokens (null or empty text) is reported once per kind with no container and 0 tokens; a container
 kind without a positive capacity holds nothing and gives no rows; repeated rows of a container kind count once, by the greatest
 capacity; ties in size go by doc_id, ties in score too; empty tables give no rows.
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.text import hashed_words
+from folioscope.llm.text import hashed_words, identified
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the tokenizer splits text before its merges (the published pattern of this vocabulary).
@@ -82,7 +82,7 @@ def _measure(path: str):
 
 def measured(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """`doc_id, n_tokens, terms` of each document."""
-    return documents.select("doc_id", "text").mapInArrow(_measure(tokenizer), "doc_id bigint, n_tokens bigint, terms array<int>")
+    return identified(documents, "doc_id").select("doc_id", "text").mapInArrow(_measure(tokenizer), "doc_id bigint, n_tokens bigint, terms array<int>")
 
 
 class Index:
@@ -194,9 +194,11 @@ def packed(documents: DataFrame, containers: DataFrame, tokenizer: str = TOKENIZ
     kinds = containers.filter("capacity_tokens > 0 AND container_kind IS NOT NULL").groupBy("container_kind").agg(F.max("capacity_tokens")).orderBy("container_kind").limit(MOST_KINDS + 1).collect()
     if len(kinds) > MOST_KINDS:
         raise ValueError(f"more than {MOST_KINDS} kinds of containers")
+    schema = "container_kind string, doc_id bigint, piece_no int, n_tokens bigint, container_id bigint"
+    if not kinds:
+        return documents.sparkSession.createDataFrame([], schema)
     shards = max(1, math.ceil(documents.count() / shard_documents))
     rows = measured(documents, tokenizer).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    schema = "container_kind string, doc_id bigint, piece_no int, n_tokens bigint, container_id bigint"
     return rows.groupBy("shard").applyInPandas(_pack_shard([(k, int(c)) for k, c in kinds]), schema)
 
 

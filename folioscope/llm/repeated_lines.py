@@ -7,7 +7,7 @@ the site grows), the key is newly crossed or newly uncrossed, and only pages tha
 The key of a line is its words without everything of the form <...>, each run of digits read as 0. Lines under `least_words` words
 have no key. A key is repeated if it stands on `least_pages` distinct pages of the site and on `least_share` of the site's pages.
 
-Defined cases: pages without url (null, blank) are left out; a null or empty text counts as a page without lines; of several
+Defined cases: rows without page_id and pages without url (null, blank) are left out; a null or empty text counts as a page without lines; of several
 deliveries of a page the one with the greatest `loaded_at` counts; an empty table gives no rows; further columns are ignored.
 
 Scale: a page travels as the array of its 64-bit line keys, never as text. Counting pre-aggregates before the shuffle, so a site
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.core.runtime import broadcast_checked, durable
-from folioscope.llm.text import latest, site_column
+from folioscope.llm.text import identified, latest, site_column
 
 LEAST_WORDS, LEAST_PAGES, LEAST_SHARE_PERCENT = 4, 5, 20
 
@@ -36,7 +36,7 @@ def line_keys(text: Column) -> Column:
 
 def page_lines(pages: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """`page_id, site, loaded_at, lines`: of each line that has a key its number and the hash of (site, key)."""
-    rows = pages.select("page_id", "loaded_at", site_column(F.col("url")).alias("site"), line_keys(F.coalesce("text", F.lit(""))).alias("keys")).filter(F.col("site").isNotNull())
+    rows = identified(pages, "page_id").select("page_id", "loaded_at", site_column(F.col("url")).alias("site"), line_keys(F.coalesce("text", F.lit(""))).alias("keys")).filter(F.col("site").isNotNull())
     numbered = F.transform(F.col("keys"), lambda k, i: F.struct((i + 1).cast("int").alias("line_no"), k.alias("key")))
     kept = F.filter(numbered, lambda x: x["key"].rlike(r"^\S+(?: \S+){%d}" % (least_words - 1)))
     lines = F.transform(kept, lambda x: F.struct(x["line_no"].alias("line_no"), F.xxhash64(F.col("site"), x["key"]).alias("key")))
@@ -98,6 +98,6 @@ def rebuilt_pages(pages: DataFrame) -> DataFrame:
     per_page = met.groupBy("page_id").agg(F.max((F.col("was") != F.col("now")).cast("int")).alias("crossed"), F.array_sort(F.collect_list(F.when(F.col("now"), F.col("line_no")))).alias("drop"))
     fresh = delta.select("page_id", F.lit(1).alias("fresh"))
     todo = per_page.join(fresh, "page_id", "full").filter("crossed = 1 OR fresh = 1").select("page_id", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
-    texts = pages.select("page_id", "loaded_at", F.coalesce("text", F.lit("")).alias("text")).join(todo, "page_id", "left_semi")
+    texts = identified(pages, "page_id").select("page_id", "loaded_at", F.coalesce("text", F.lit("")).alias("text")).join(todo, "page_id", "left_semi")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("drop", (i + 1).cast("int")))
     return latest(texts, "page_id", "loaded_at", ["text"]).join(todo, "page_id").select("page_id", F.size("drop").alias("n_removed"), F.array_join(kept, "\n").alias("text"))

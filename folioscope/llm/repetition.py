@@ -7,11 +7,12 @@ and quartiles, each concentration step keeps the three quarters of the group nea
 covariance. Documents further than the chi-square quantile are outliers. The shares themselves are exact.
 
 Every step is an aggregate with partial sums or mergeable quantile sketches over all documents of a group, so a language or source
-may hold any share of the corpus. Groups under `LEAST_GROUP` documents use their language's estimate, else that of all documents.
+may hold any share of the corpus. Groups under `LEAST_GROUP` documents use their language's estimate, else that of all documents. Each document is also held against the
+estimate of all, as a source may repeat itself in more than half of its documents; one distance beyond the quantile is enough.
 
 A word is repeated if it lies in a run of 8 words that equals a run beginning earlier in the same document.
 
-Defined cases: a null, empty or short text (under 8 words) has no repeated words; documents under `LEAST_WORDS` words are measured but
+Defined cases: rows without doc_id are left out; a null, empty or short text (under 8 words) has no repeated words; documents under `LEAST_WORDS` words are measured but
 take no part in the estimates and are no outliers; unknown language and source form groups of their own; ties in distance are all kept
 in a concentration step; an empty table gives no rows.
 """
@@ -26,13 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.core.runtime import broadcast_checked, durable
-from folioscope.llm.text import hashed_words, mix, run_hashes
+from folioscope.llm.text import hashed_words, identified, mix, run_hashes
 
 RUN, SHORT_RUN = 8, 3
 LEAST_WORDS, LEAST_SHARE_PERCENT = 40, 30
 LEAST_GROUP = 200
 #: The share of a group that a concentration step keeps, the number of steps, and the quantile beyond which a document is an outlier.
-KEPT, STEPS, QUANTILE = 0.75, 2, 0.999
+KEPT, STEPS, QUANTILE = 0.5, 2, 0.999
 #: The least standard deviation of a statistic: most documents repeat nothing, which would leave a covariance without inverse.
 LEAST_DEVIATION = 0.02
 VECTOR = ("x0", "x1", "x2", "x3")
@@ -79,7 +80,7 @@ def _measure(batches):
 def measures(documents: DataFrame) -> DataFrame:
     """`doc_id, lang, source, n_words, n_repeated, n_short, n_top` of each document."""
     schema = "doc_id bigint, lang string, source string, n_words bigint, n_repeated bigint, n_short bigint, n_top bigint"
-    return documents.select("doc_id", "lang", "source", "text").mapInArrow(_measure, schema)
+    return identified(documents, "doc_id").select("doc_id", "lang", "source", "text").mapInArrow(_measure, schema)
 
 
 def language(lang: Column) -> Column:
@@ -150,7 +151,7 @@ def first_estimate(rows: DataFrame) -> DataFrame:
 
 
 def concentrate(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """One concentration step: mean and covariance of the nearest three quarters of each group."""
+    """One concentration step: mean and covariance of the nearest half of each group."""
     near = rows.join(_parameters(estimate), "grp").withColumn("d", distance())
     limit = durable(near.groupBy("grp").agg(F.percentile_approx("d", KEPT, 10_000).alias("limit")))
     kept = near.join(broadcast_checked(limit), "grp").filter("d <= limit")
@@ -166,12 +167,15 @@ def _parameters(estimate: DataFrame) -> DataFrame:
 
 
 def outliers(documents: DataFrame) -> DataFrame:
-    """`doc_id, n_words, n_repeated, share, distance, is_outlier` of documents of at least `LEAST_WORDS` words."""
+    """`doc_id, n_words, n_repeated, share, distance, is_outlier` of documents of at least `LEAST_WORDS` words; the greater of both distances."""
     rows = durable(grouped(vectors(durable(measures(documents)).filter(F.col("n_words") >= LEAST_WORDS))).select("doc_id", "n_words", "n_repeated", "grp", *VECTOR))
-    estimate = durable(first_estimate(rows))
+    every = rows.filter("grp <> 'all'").unionByName(rows.withColumn("grp", F.lit("all")))
+    estimate = durable(first_estimate(every))
     for _ in range(STEPS):
-        estimate = durable(concentrate(rows, estimate))
-    scored = rows.join(_parameters(estimate), "grp").withColumn("distance", distance())
+        estimate = durable(concentrate(every, estimate))
+    own = rows.join(_parameters(estimate), "grp").withColumn("own", distance())
+    whole = F.broadcast(estimate.filter("grp = 'all'").select(F.struct("centre", "inverse").alias("all")))  # one row
+    scored = own.crossJoin(whole).withColumn("distance", F.greatest(F.col("own"), distance("all")))
     beyond = F.col("distance") > chi_square(QUANTILE, P)
     return scored.select("doc_id", "n_words", "n_repeated", (F.col("n_repeated") / F.col("n_words")).alias("share"), "distance", beyond.alias("is_outlier"))
 

@@ -11,7 +11,7 @@ An unfilled value (`{{page.title}}`, `[object Object]`, `%PRODUCT_NAME%`, a lone
 is the value with its neighbours, so that it is found within running text too; next to the words of a counter-example it is an example.
 Values that a reader is to replace (YOUR_API_KEY) are no terms of this kind. Notes of a wiki such as {{citation needed}} are none either.
 
-Defined cases: null and empty texts are no residue; a page counts once, however often it is delivered or matched; windows without
+Defined cases: rows without page_id are left out; null and empty texts are no residue; a page counts once, however often it is delivered or matched; windows without
 letters or digits match nothing; ties between exemplars go to the first of the list; an empty table gives no rows.
 
 Scale: both passes are narrow; what is shuffled are counts of the exemplars' terms (their number is fixed) and page ids.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.text import WORD
+from folioscope.llm.text import WORD, identified
 
 #: Share of a window's weight, and of an exemplar's, from which a window is residue.
 WINDOW_COVERED, EXEMPLAR_COVERED = 0.75, 0.7
@@ -293,6 +293,7 @@ def _label(frequencies: dict[str, int], pages: int):
 
 def matches(pages: DataFrame) -> DataFrame:
     """`page_id, line_window, kind` of every passage window that is residue."""
+    pages = identified(pages, "page_id")
     n = pages.count()
     return pages.select("page_id", "text").mapInArrow(_label(frequencies(pages), n), "page_id bigint, line_window int, kind string")
 

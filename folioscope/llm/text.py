@@ -82,6 +82,11 @@ def run_hashes(hashes: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.nd
     return out[at], owner[at], at
 
 
+def identified(df: DataFrame, key: str) -> DataFrame:
+    """Rows with an id; a row without one is no page or document, and is left out."""
+    return df.filter(F.col(key).isNotNull())
+
+
 def latest(df: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
     """One row per `key`: of several deliveries the one with the greatest `order` (then values). For narrow rows."""
     kept = [order, *[v for v in values if v != order]]
