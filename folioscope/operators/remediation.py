@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from folioscope.functions import fix_data as D
 from folioscope.functions import masking as M
 
-#: Stands for a protected segment; a control character that texts do not hold (one in a text is taken out before).
-HOLE = "\x01"
+#: Stands for a protected segment: a code point that Unicode keeps out of texts for good. One in a text's prose becomes the next such point.
+HOLE, NEXT = "\ufdd0", "\ufdd1"
 
 
 def _raised(pattern: str) -> str:
@@ -40,7 +40,7 @@ def any_of(patterns: list[str]) -> str:
 
 def lifted(text: Column, segments: Column) -> tuple[Column, Column]:
     """The prose with a hole for each protected segment, and the segments."""
-    prose = F.array_join(F.transform(segments, lambda s: F.when(s["prose"], F.replace(s["text"], F.lit(HOLE), F.lit(""))).otherwise(HOLE)), "")
+    prose = F.array_join(F.transform(segments, lambda s: F.when(s["prose"], F.replace(s["text"], F.lit(HOLE), F.lit(NEXT))).otherwise(HOLE)), "")
     return prose, F.transform(F.filter(segments, lambda s: ~s["prose"]), lambda s: s["text"])
 
 
