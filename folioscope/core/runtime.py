@@ -68,3 +68,19 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def current(df: DataFrame, key: str, order: str) -> DataFrame:
+    """One row per `key`: of several deliveries the one with the greatest `order`; of rows that tie in it, any one.
+
+    Only (`key`, `order`) is shuffled. The keys that were delivered more than once go back to the rows, so that wide rows stay where
+    they were read; only rows that tie go through a shuffle of their own.
+    """
+    per = df.groupBy(key, order).agg(F.count("*").alias("_n"))
+    top = per.groupBy(key).agg(F.max(F.struct(F.col(order), "_n")).alias("_m"), F.sum("_n").alias("_t")).filter("_t > 1")
+    top = durable(top.select(F.col(key).alias("_key"), F.col(f"_m.{order}").alias("_top"), F.col("_m._n").alias("_n")))
+    met = df.join(broadcast_checked(top), F.col(key).eqNullSafe(F.col("_key")), "left").filter(F.col("_n").isNull() | F.col(order).eqNullSafe(F.col("_top")))
+    if top.filter("_n > 1").limit(1).count():
+        tied = met.filter("_n > 1").dropDuplicates([key])
+        met = met.filter("_n IS NULL OR _n = 1").unionByName(tied)
+    return met.drop("_key", "_top", "_n")

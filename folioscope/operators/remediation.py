@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import fix_data as D
 from folioscope.functions import masking as M
+from folioscope.functions.literals import may_match
 
 #: Stands for a protected segment: a code point that Unicode keeps out of texts for good. One in a text's prose becomes the next such point.
 HOLE, NEXT = "\ufdd0", "\ufdd1"
@@ -49,9 +50,11 @@ def filled(prose: Column, kept: Column) -> Column:
     return F.array_join(F.zip_with(F.split(prose, HOLE, -1), kept, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
 
 
-def _step(rows: DataFrame, rule: str, hit: Column, new: Column, n: Column) -> DataFrame:
-    """One rule: `_p` rewritten and its number of fixes appended to `_n`, both computed once a row."""
-    done = M.once(rows, _new=F.when(hit, new).otherwise(F.col("_p")), _hits=F.when(hit, n).otherwise(0))
+def _step(rows: DataFrame, rule: str, patterns: list[str], hit: Column, new: Column, n: Column) -> DataFrame:
+    """One rule: `_p` rewritten and its number of fixes appended to `_n`, both computed once a row, and only where the patterns' literals stand."""
+    seen = M.once(rows, _low=F.lower("_p"))
+    hit = may_match(F.col("_low"), F.col("_p"), patterns) & hit
+    done = M.once(seen, _new=F.when(hit, new).otherwise(F.col("_p")), _hits=F.when(hit, n).otherwise(0))
     return done.select("page", "text", "_kept", F.col("_new").alias("_p"), F.concat("_n", F.array(F.struct(F.lit(rule).alias("rule"), F.col("_hits").cast("bigint").alias("n")))).alias("_n"))
 
 
@@ -61,19 +64,19 @@ def _prose_rules(rows: DataFrame, brand_terms: dict[str, str] | None) -> DataFra
             patterns = [(p, r, False) for p, r in brand_terms.items()] + patterns
         whole = any_of([p for p, _, _ in patterns])
         new = M.chained(F.col("_p"), [lambda c, a=a, b=b: F.regexp_replace(c, a, b) for p, r, mirror in patterns for a, b in variants(p, r, mirror)])
-        rows = _step(rows, rule, F.col("_p").rlike(whole), new, F.regexp_count("_p", F.lit(whole)))
+        rows = _step(rows, rule, [p for p, _, _ in patterns], F.col("_p").rlike(whole), new, F.regexp_count("_p", F.lit(whole)))
     return rows
 
 
 def _line_rules(rows: DataFrame) -> DataFrame:
-    rows = _step(rows, "HeadingPunctuation", F.col("_p").rlike(D.HEADING_END), F.regexp_replace("_p", D.HEADING_END, "$1"), F.regexp_count("_p", F.lit(D.HEADING_END)))
+    rows = _step(rows, "HeadingPunctuation", ["# "], F.col("_p").rlike(D.HEADING_END), F.regexp_replace("_p", D.HEADING_END, "$1"), F.regexp_count("_p", F.lit(D.HEADING_END)))
     for rule, stems in D.STEMS.items():
         for stem in stems:
             # a quoted span is matched first, and goes back as it is
             pattern = r'(?m)"[^"\n]*(?:"|$)|' + stem.removeprefix("(?m)").replace("(?:^|", f"(?:^|(?<={HOLE})|") + r"\w"
             change = lambda m: F.when(m.startswith('"'), m).otherwise(F.upper(F.right(m, F.lit(1))))
             n = F.size(F.filter(F.regexp_extract_all("_p", F.lit(pattern), F.lit(0)), lambda m: ~m.startswith('"')))
-            rows = _step(rows, rule, F.col("_p").rlike(stem.replace("(?:^|", f"(?:^|(?<={HOLE})|")), M.replace_each(F.col("_p"), pattern, change), n)
+            rows = _step(rows, rule, ["lease " if "lease " in stem else "hat "], F.col("_p").rlike(stem.replace("(?:^|", f"(?:^|(?<={HOLE})|")), M.replace_each(F.col("_p"), pattern, change), n)
     return rows
 
 

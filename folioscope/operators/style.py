@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import masking as M
 from folioscope.functions import rule_data as D
+from folioscope.functions.literals import may_match
 from folioscope.functions.rules import Rule, rules
 
 #: Code spans, link targets and URLs; tags other than bare lower-case ones, which may be placeholders.
@@ -23,7 +24,7 @@ SENTENCE_END = r"[.!?]\s+"
 def scoped(pages: DataFrame) -> DataFrame:
     """`page, area, offset, raw, seen`: each page's body with code blanked, as it is and with what prose rules do not look at left out."""
     bare = M.once(pages.select("page", "text"), offset=M.body_offset(F.col("text")), raw=M.blanked(M.body(F.col("text"))))
-    return M.once(bare.select("page", "offset", "raw"), area=area(F.col("page")), seen=F.regexp_replace("raw", UNSEEN, ""))
+    return M.once(bare.select("page", "offset", "raw"), area=area(F.col("page")), seen=F.regexp_replace("raw", UNSEEN, ""), low=F.lower("raw"))
 
 
 def area(page: Column) -> Column:
@@ -34,8 +35,10 @@ def area(page: Column) -> Column:
 def _on_page(rule: Rule) -> Column:
     """Whether the page can have an alert of the rule at all."""
     text = F.col("raw") if rule.scope == "raw" else F.col("seen")
+    if rule.scope == "heading" and rule.kind == "existence":
+        return text.rlike(rf"(?m)^#{{1,6}}[ \t].*{rule.pattern()}")
     if rule.kind in ("existence", "substitution"):
-        return text.rlike("(?m)" + rule.pattern())
+        return may_match(F.col("low"), text, list(rule.tokens or rule.swap)) & text.rlike("(?m)" + rule.pattern())
     if rule.kind == "conditional":
         return text.rlike(rule.tokens[0])
     if rule.kind == "capitalization":

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.core.runtime import table
+from folioscope.core.runtime import current, spread, table
 
 
 def doc_pages(spark, sf_dir) -> DataFrame:
     """`page, path, text, title, url, revision`: each page once; its path with its id, as sites share paths."""
-    rows = table(spark, sf_dir, "pages", "page_id", "path", "text", "title", "url", "revision").dropDuplicates(["page_id"])
+    rows = current(spread(table(spark, sf_dir, "pages", "page_id", "path", "text", "title", "url", "revision", "loaded_at")), "page_id", "loaded_at")
     return rows.select(F.concat_ws("#", "path", "page_id").alias("page"), "path", F.coalesce("text", F.lit("")).alias("text"), "title", "url", "revision")
 
 
