@@ -76,7 +76,7 @@ def _line_rules(rows: DataFrame) -> DataFrame:
             pattern = r'(?m)"[^"\n]*(?:"|$)|' + stem.removeprefix("(?m)").replace("(?:^|", f"(?:^|(?<={HOLE})|") + r"\w"
             change = lambda m: F.when(m.startswith('"'), m).otherwise(F.upper(F.right(m, F.lit(1))))
             n = F.size(F.filter(F.regexp_extract_all("_p", F.lit(pattern), F.lit(0)), lambda m: ~m.startswith('"')))
-            rows = _step(rows, rule, ["lease " if "lease " in stem else "hat "], F.col("_p").rlike(stem.replace("(?:^|", f"(?:^|(?<={HOLE})|")), M.replace_each(F.col("_p"), pattern, change), n)
+            rows = _step(rows, rule, ["that " if "that " in stem else "lease "], F.col("_p").rlike(stem.replace("(?:^|", f"(?:^|(?<={HOLE})|")), M.replace_each(F.col("_p"), pattern, change), n)
     return rows
 
 
