@@ -34,13 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or, on one machine where it is unset (tests), a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
         known = context._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not context.master.startswith("local["):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="folioscope-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)

@@ -206,3 +206,25 @@ def test_policy_is_checked():
         structure.Policy(h1_source="nowhere")
     with pytest.raises(ValueError):
         structure.Policy(required_column_values=(True,))
+
+
+def test_literals_never_rule_out_a_match():
+    """Every pattern's matches hold one of the literals taken from it."""
+    from folioscope.functions import literals as L
+    from folioscope.functions import rule_data as D
+
+    patterns = [p for _, _, _, t in [*D.EXISTENCE.values(), *D.SUBSTITUTION.values()] for p in t] + [p for v in fix_data.FIXES.values() for p, _, _ in v]
+    import re
+
+    seen = 0
+    texts = [t for sides in CASES.values() for t in sides[0]] + ["In the event that e.g. WHITELISTS of GitHUB, Oauth and man-hours", "left hand navigation, drop down menus, api KEY, Https url"]
+    for p in patterns:
+        keys = [L.literal(a) for a in L.alternatives(p)]
+        if None in keys:
+            continue
+        for t in texts:
+            for m in re.finditer("(?i)" + p.removeprefix("(?i)").replace("\\x{2014}", "—"), t):
+                seen += 1
+                assert any(k in m[0].lower() for k in keys), (p, m[0])
+    assert seen > 40
+    assert L.literal(r"a|b") is None and L.literal(r"\bab?c") is None and L.literal(r"colou?r") == "colo" and L.literal("(?i)Xy [z] q") == "xy "
