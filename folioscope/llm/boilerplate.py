@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.core.runtime import broadcast_checked, durable
+from folioscope.core.runtime import broadcast_checked, current, durable
 from folioscope.llm.text import WORD, identified, latest, site_column
 
 LEAST_PAGES, LEAST_PERCENT = 4, 1
@@ -293,7 +293,7 @@ def surroundings(pages: DataFrame) -> DataFrame:
 def main_content(pages: DataFrame) -> DataFrame:
     """`page_id, n_dropped, text`: every page without its surroundings; runs of blank lines that this leaves become one."""
     drop = surroundings(pages).groupBy("page_id").agg(F.collect_set("line_no").alias("drop"))
-    texts = latest(identified(pages, "page_id").select("page_id", "loaded_at", F.coalesce("text", F.lit("")).alias("text")), "page_id", "loaded_at", ["text"])
+    texts = current(identified(pages, "page_id").select("page_id", "loaded_at", F.coalesce("text", F.lit("")).alias("text")), "page_id", "loaded_at")
     met = texts.join(drop, "page_id", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<int>")))
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("drop", (i + 1).cast("int")))
     clean = F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n(?:[ \t\r]*\n){2,}", "\n\n"))

@@ -1,53 +1,58 @@
 """Queries over pages and documents, with the SQL of those that SQL can express on whole tables."""
 
-from folioscope.core.runtime import table
+from folioscope.core.runtime import spread, table
 from folioscope.llm import boilerplate, leaks, markup, near_duplicates, packing, repeated_lines, repetition, residue
 
 PAGES = ("page_id", "text", "url", "loaded_at")
 
 
+def pages(spark, sf_dir):
+    """The scan for operators that work on each page's text; a single small file is spread over the cores."""
+    return spread(table(spark, sf_dir, "pages", *PAGES))
+
+
 def p2_found(spark, sf_dir):
-    return markup.notations(table(spark, sf_dir, "pages", "page_id", "text"))
+    return markup.notations(pages(spark, sf_dir))
 
 
 def p2_clean(spark, sf_dir):
-    return markup.clean_text(table(spark, sf_dir, "pages", *PAGES))
+    return markup.clean_text(pages(spark, sf_dir))
 
 
 def p2_path_ratios(spark, sf_dir):
-    return markup.path_ratios(table(spark, sf_dir, "pages", "page_id", "text"))
+    return markup.path_ratios(pages(spark, sf_dir))
 
 
 def p3_found(spark, sf_dir):
-    return boilerplate.surroundings(table(spark, sf_dir, "pages", *PAGES))
+    return boilerplate.surroundings(pages(spark, sf_dir))
 
 
 def p3_main_content(spark, sf_dir):
-    return boilerplate.main_content(table(spark, sf_dir, "pages", *PAGES))
+    return boilerplate.main_content(pages(spark, sf_dir))
 
 
 def p4_found(spark, sf_dir):
-    return residue.residue_pages(table(spark, sf_dir, "pages", "page_id", "text"))
+    return residue.residue_pages(pages(spark, sf_dir))
 
 
 def p4_report(spark, sf_dir):
-    return residue.residue_report(table(spark, sf_dir, "pages", "page_id", "text"))
+    return residue.residue_report(pages(spark, sf_dir))
 
 
 def p5_found(spark, sf_dir):
-    return near_duplicates.pairs(table(spark, sf_dir, "pages", *PAGES))
+    return near_duplicates.pairs(pages(spark, sf_dir))
 
 
 def p5_groups(spark, sf_dir):
-    return near_duplicates.groups(table(spark, sf_dir, "pages", *PAGES))
+    return near_duplicates.groups(pages(spark, sf_dir))
 
 
 def p6_found(spark, sf_dir):
-    return repeated_lines.repeated_lines(table(spark, sf_dir, "pages", *PAGES))
+    return repeated_lines.repeated_lines(pages(spark, sf_dir))
 
 
 def p6_rebuilt(spark, sf_dir):
-    return repeated_lines.rebuilt_pages(table(spark, sf_dir, "pages", *PAGES))
+    return repeated_lines.rebuilt_pages(pages(spark, sf_dir))
 
 
 def p7_packed(spark, sf_dir):

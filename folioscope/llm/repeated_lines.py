@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.core.runtime import broadcast_checked, durable
+from folioscope.core.runtime import broadcast_checked, current, durable
 from folioscope.llm.text import identified, latest, site_column
 
 LEAST_WORDS, LEAST_PAGES, LEAST_SHARE_PERCENT = 4, 5, 20
@@ -100,4 +100,4 @@ def rebuilt_pages(pages: DataFrame) -> DataFrame:
     todo = per_page.join(fresh, "page_id", "full").filter("crossed = 1 OR fresh = 1").select("page_id", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
     texts = identified(pages, "page_id").select("page_id", "loaded_at", F.coalesce("text", F.lit("")).alias("text")).join(todo, "page_id", "left_semi")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("drop", (i + 1).cast("int")))
-    return latest(texts, "page_id", "loaded_at", ["text"]).join(todo, "page_id").select("page_id", F.size("drop").alias("n_removed"), F.array_join(kept, "\n").alias("text"))
+    return current(texts, "page_id", "loaded_at").join(todo, "page_id").select("page_id", F.size("drop").alias("n_removed"), F.array_join(kept, "\n").alias("text"))
