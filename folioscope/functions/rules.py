@@ -58,6 +58,13 @@ def rules(vocabulary: list[str] | None = None, brand_terms: dict[str, str] | Non
     return out
 
 
+def catalog(package: list[Rule]) -> list[tuple]:
+    """(name, kind, level, scope, number of patterns, whether a replacement needs no judgement) of each rule, by name."""
+    from folioscope.functions.fix_data import NOT_AUTOMATABLE
+
+    return sorted((r.name, r.kind, r.level, r.scope, len(r.tokens or r.swap), r.name not in NOT_AUTOMATABLE) for r in package)
+
+
 def vocabulary_lines(lines: list[str]) -> list[str]:
     """Accepted names of a vocabulary file: no comments, once each, sorted without regard to case."""
     return sorted({x.strip() for x in lines if x.strip() and not x.strip().startswith("#")}, key=str.casefold)

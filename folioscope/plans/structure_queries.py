@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import masking as M
 from folioscope.operators import metrics
 from folioscope.operators import structure as S
-from folioscope.plans.common import LINES, PAGES, doc_pages
+from folioscope.plans.common import LINES, PAGES, block, doc_pages
 
 
 def _lines(spark, sf_dir):
@@ -92,6 +92,7 @@ fr AS (SELECT page, trim(regexp_extract(regexp_extract(text, '(?s)\\A---\\n(.*?)
 tt AS (SELECT page, coalesce(nullif(trim(h1), ''), nullif(trim(front), '')) AS title FROM fr LEFT JOIN h1 USING (page))"""
 FENCE = "^[ \\t]*(`{3,}|~{3,})([^\\n]*)$"
 CALL = "^[ \\t]*\\*\\*([A-Za-z]+)\\*\\*[ \\t]*(:|[ \\t]|$)"
+NAME = "\\b([A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)\\b"
 ROW = "^[ \\t]*\\|(.+)\\|[ \\t\\r]*$"
 
 SQL = {
@@ -123,5 +124,26 @@ SQL = {
         UNION ALL SELECT 'table_column_name', page, line, 'error', name FROM (SELECT page, line, unnest(header) AS name FROM d WHERE line = head) WHERE name IN ({', '.join(f"'{x}'" for x in S.Policy().banned_column_names)})
         UNION ALL SELECT 'required_value', page, line, 'error', value FROM q WHERE value <> '' AND value NOT IN ('Yes', 'No', 'Conditional')
         UNION ALL SELECT 'table_empty_cell', page, line, 'warning', '' FROM d WHERE line > head AND len(cells) = len(header) AND list_contains(cells, '')""",
+    "placeholder_unexplained": f"""WITH {LINES}, cd AS (SELECT page, array_to_string(regexp_extract_all(body, '{block()}'), chr(10)) AS code, blank FROM bl), nm AS (SELECT DISTINCT page, blank, unnest(regexp_extract_all(code, '{NAME}', 1)) AS name FROM cd)
+        SELECT page, name FROM nm WHERE NOT list_contains(regexp_extract_all(blank, '{NAME}', 1), name)""",
     "policy_excluded": f"WITH {PAGES} SELECT page FROM pg WHERE NOT starts_with(path, 'v1/faq/') AND NOT (path LIKE '%.mdx')",
 }
+
+# all checks under the default policy, by which a title is a page's first H1
+_KIND = {"heading_skip": "error", "multiple_h1": "error", "duplicate_heading": "error", "empty_heading": "warning", "placeholder_unexplained": "suggestion"}
+_BY_H1 = "nt AS (SELECT pg.page, nullif(trim(h1), '') AS title FROM pg LEFT JOIN h1 USING (page))"
+
+
+def _inner(name: str) -> str:
+    """The steps and the selection of a check's SQL, as one subquery."""
+    return f"(SELECT * FROM ({SQL[name]}))"
+
+
+_PARTS = [f"SELECT '{c}' AS check_id, '{level}' AS level FROM {_inner(c)}" for c, level in _KIND.items()] + [f"SELECT check_id, level FROM {_inner(c)}" for c in ("fence_labels", "callouts", "table_checks")]
+_PARTS += [
+    f"SELECT 'missing_title', 'warning' FROM (WITH {T}, {_BY_H1} SELECT page FROM nt WHERE title IS NULL)",
+    f"SELECT 'title_not_unique', 'warning' FROM (WITH {T}, {_BY_H1} SELECT page FROM nt WHERE title IS NOT NULL QUALIFY count(*) OVER (PARTITION BY lower(title)) > 1)",
+]
+_ALL = " UNION ALL ".join(_PARTS)
+SQL["structure_by_check"] = f"SELECT check_id, level, count(*) AS n FROM ({_ALL}) GROUP BY check_id, level"
+SQL["structure_gate"] = f"SELECT count_if(level = 'error') AS failing, count(*) AS total FROM ({_ALL})"

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import masking as M
 from folioscope.functions import rule_data as D
-from folioscope.functions.rules import rules
+from folioscope.functions.rules import catalog, rules
 from folioscope.operators import metrics, remediation, style
-from folioscope.plans.common import LINES, PAGES, doc_pages, masked
+from folioscope.plans.common import LINES, PAGES, block, doc_pages, values
 
 
 def _plain():
@@ -98,9 +98,19 @@ def protected_unchanged(spark, sf_dir):
     return n.crossJoin(remediation.altered_segments(done).agg(F.count("*").alias("altered")))
 
 
+def rule_catalog(spark, sf_dir):
+    return spark.createDataFrame(catalog(rules()), "rule string, kind string, level string, scope string, patterns int, automatic boolean")
+
+
+def alerts_with_rules(spark, sf_dir):
+    """Alerts with what the catalog knows of their rule; alerts of a rule that it does not know stay."""
+    known = F.broadcast(rule_catalog(spark, sf_dir).filter("rule <> 'EmDash'"))  # a row for each rule
+    return _alerts(spark, sf_dir).join(known, "rule", "left").groupBy("rule", "kind", "automatic").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (style_alerts, style_replacements, heading_case, style_counts, style_by_severity, style_ranked, style_per_1k, style_annotations, style_top_pages, style_gate, style_sarif, style_before_after, prose_words, prose_segments, indented_code, remediation_fixes, remediated_text, protected_unchanged)
+    for f in (rule_catalog, alerts_with_rules, style_alerts, style_replacements, heading_case, style_counts, style_by_severity, style_ranked, style_per_1k, style_annotations, style_top_pages, style_gate, style_sarif, style_before_after, prose_words, prose_segments, indented_code, remediation_fixes, remediated_text, protected_unchanged)
 }
 
 
@@ -144,6 +154,14 @@ SQL = {
     "style_top_pages": f"WITH {ALERTS} SELECT page, count(*) AS n FROM alerts GROUP BY page ORDER BY n DESC, page LIMIT 15",
     "style_gate": f"WITH {ALERTS} SELECT count_if({RANK} <= 1) AS failing, count(*) AS total FROM alerts",
     "prose_words": f"""WITH {PAGES}, cut AS (SELECT page, array_to_string(list_transform(list_zip(regexp_split_to_array(text, '{{b}}'), regexp_extract_all(text, '{{b}}')), lambda x: regexp_replace(coalesce(x[1], ''), '{INLINE}', '', 'g')), '') AS prose FROM pg)
-        SELECT page, CAST(len(regexp_extract_all(prose, '[\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Pc}}](?:[\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Pc}}''-]*[\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Pc}}])?')) AS INT) AS words FROM cut""".replace("{b}", __import__("folioscope.plans.common", fromlist=["block"]).block()),
+        SELECT page, CAST(len(regexp_extract_all(prose, '[\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Pc}}](?:[\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Pc}}''-]*[\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Pc}}])?')) AS INT) AS words FROM cut""".replace("{b}", block()),
+}
+WORDS = SQL["prose_words"].removeprefix("WITH ").rpartition("SELECT page")
+CATALOG = values("ca", "rule, kind, level, scope, patterns, automatic", catalog(rules()))
+SQL |= {
+    "rule_catalog": f"WITH {CATALOG} SELECT rule, kind, level, scope, patterns, automatic FROM ca",
+    "alerts_with_rules": f"WITH {ALERTS}, {CATALOG} SELECT a.rule, kind, automatic, count(*) AS n FROM alerts a LEFT JOIN (SELECT * FROM ca WHERE rule <> 'EmDash') c USING (rule) GROUP BY a.rule, kind, automatic",
+    "style_per_1k": f"WITH {ALERTS}, {WORDS[0].replace(PAGES + ', ', '')}, w AS (SELECT page{WORDS[2]}), t AS (SELECT (SELECT count(*) FROM alerts) AS total, (SELECT CAST(sum(words) AS BIGINT) FROM w) AS words) SELECT total, words, CASE WHEN words > 0 THEN round_even(total * 1000 / words, 2) ELSE 0.0 END AS per_1k FROM t",
+    "prose_segments": f"""WITH {PAGES}, c AS (SELECT page, list_filter(flatten(list_transform(list_zip(regexp_split_to_array(text, '{block()}'), regexp_extract_all(text, '{block()}')), lambda x: [{{'p': true, 't': coalesce(x[1], '')}}, {{'p': false, 't': coalesce(x[2], '')}}])), lambda s: s.t <> '') AS s FROM pg)
+        SELECT page, CAST(generate_subscripts(s, 1) - 1 AS INT) AS seq, unnest(s).p AS prose, CAST(length(unnest(s).t) AS INT) AS chars FROM c""",
 }
-del masked
