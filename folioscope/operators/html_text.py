@@ -5,21 +5,37 @@ from __future__ import annotations
 
 import html
 import json
+from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.functions import masking as M
 
+# Fixed values --------------------------------------------------------------------------------------------------------------------
 DROPPED = ("script", "style", "nav", "header", "footer")
-# The least length and share of blanks of prose, how many texts a page gives, what is telling for prose and for code
+# of prose within data: least length, least share of blanks, what is telling, what is data whatever its length; how many texts a page gives
 LEAST_LENGTH, LEAST_BLANKS, MOST_TEXTS, SAME_PREFIX = 80, 0.05, 40, 200
-PROSE = r"(?i)\b(the|and|to|of|a|is|you|in|for|this|that|with|can|are|your)\b"
-MACHINE = r"^[\s\[{<]|[{};]\s*$|^https?://|^[A-Za-z0-9+/=_-]{80,}$"
-OK_WORDS, OK_DENSITY, BIG_PAYLOAD, SMALL_PAGE = 150, 4.0, 20_000, 5_000
+PROSE = r"(?m)(^#{1,6}\s|\n\n|```|\. [A-Z]|, |\bthe\b|\byou\b)"
+MACHINE = r"^(?:https?://|/|[A-Za-z0-9+/=]{60,}$|[0-9a-f]{32,}$|\{|\[|#[0-9a-f]{3,8}$)"
+# of a page without much text: words and words a kilobyte of a readable one, a payload's size, a stub's size, signs of a gate and of an app shell
+OK_WORDS, OK_DENSITY, BIG_PAYLOAD, SMALL_PAGE, BUNDLES = 150, 4.0, 20_000, 5_000, 3
+BLOCKED = r"(?i)(just a moment|checking your browser|attention required|access denied|captcha|cf-chl|cf-browser-verification|ddos protection|request blocked|enable javascript (?:and cookies )?to continue|are you a robot)"
+APP_ROOT = r"""(?i)<div[^>]+id=["'](root|__next|app|__nuxt|svelte)["']"""
 SCRIPT = r"(?is)<script\b([^>]*)>(.*?)</script>"
+STYLE = r"(?is)<style\b[^>]*>(.*?)</style>"
+PAYLOAD_NAMES = (r"""id=["']([^"']+)["']""", r"(?:window|self|globalThis)\.([A-Za-z_$][\w$]*)\s*=", r"^\s*(?:var|let|const)\s+([A-Za-z_$][\w$]*)\s*=")
+# of the main content: names that say so, in order; what is never content; elements whose text counts; least length
+MAIN = ("main", '[role="main"]', "article", "#main-content", "#content", ".markdown-body", ".markdown", ".doc-content", ".docs-content", ".article-content", ".content-wrapper")
+CHROME_TAGS = ("script", "style", "noscript", "template", "svg", "iframe", "form", "button", "nav", "header", "footer", "aside")
+CHROME_ROLES = ("navigation", "banner", "contentinfo", "search")
+TEXT_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "code", "td", "th", "dd", "blockquote")
+CONTAINERS = ("div", "section", "article", "td")
+LEAST_MAIN = 200
+# ----------------------------------------------------------------------------------------------------------------------------------
 
 
 @F.pandas_udf(T.StringType())
@@ -31,16 +47,20 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)<[^>]+>", "")
 
 
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(_strip(text), r"^\s+|\s+$", "")
+
+
 def _each(pattern: str, change):
     return lambda c: M.replace_each(c, pattern, change)
 
 
 #: From HTML to Markdown with entities still escaped: surroundings dropped, pre as fences, code as spans, headings as #, blocks as lines, other tags gone.
 STEPS = [
-    lambda c: M.chained(c, [lambda x, t=t: F.regexp_replace(x, rf"(?is)<{t}\b.*?</{t}>", "") for t in DROPPED]),
-    _each(r"(?is)<pre\b[^>]*>.*?</pre>", lambda m: F.concat(F.lit("\n```\n"), _strip(m), F.lit("\n```\n"))),
-    _each(r"(?is)<code\b[^>]*>.*?</code>", lambda m: F.concat(F.lit("`"), _strip(m), F.lit("`"))),
-    _each(r"(?is)<h([1-6])\b[^>]*>.*?</h\1>", lambda m: F.concat(F.lit("\n"), F.repeat(F.lit("#"), F.substring(m, 3, 1).cast("int")), F.lit(" "), F.trim(_strip(m)), F.lit("\n"))),
+    lambda c: M.chained(c, [lambda x, t=t: F.regexp_replace(x, rf"(?is)<{t}\b.*?</{t}>", " ") for t in DROPPED]),
+    _each(r"(?is)<pre\b[^>]*>.*?</pre>", lambda m: F.concat(F.lit("\n```\n"), _bare(m), F.lit("\n```\n"))),
+    _each(r"(?is)<code\b[^>]*>.*?</code>", lambda m: F.concat(F.lit("`"), _bare(m), F.lit("`"))),
+    _each(r"(?is)<h([1-6])\b[^>]*>.*?</h\1>", lambda m: F.concat(F.lit("\n"), F.repeat(F.lit("#"), F.substring(m, 3, 1).cast("int")), F.lit(" "), _bare(m), F.lit("\n"))),
     lambda c: _strip(F.regexp_replace(c, r"(?i)</(?:p|div|li|tr)>", "\n")),
 ]
 
@@ -83,31 +103,38 @@ def words(text: Column) -> Column:
 
 def budget(pages: DataFrame) -> DataFrame:
     """`page, total, inline_script, inline_style, markup` in characters."""
-    total_of = lambda p: F.aggregate(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(0)), lambda m: F.length(m)), F.lit(0), lambda a, b: a + b)
-    cut = M.once(pages.select("page", "text"), total=F.length("text"), inline_script=total_of(r"(?is)<script\b(?![^>]*\bsrc=)[^>]*>.*?</script>"), inline_style=total_of(r"(?is)<style\b.*?</style>"))
-    return cut.select("page", "total", "inline_script", "inline_style", (F.col("total") - F.col("inline_script") - F.col("inline_style")).alias("markup"))
+    total_of = lambda p, g: F.aggregate(F.transform(F.regexp_extract_all("text", F.lit(p), F.lit(g)), lambda m: F.length(m)), F.lit(0), lambda a, b: a + b)
+    cut = M.once(pages.select("page", "text"), total=F.length("text"), inline_script=total_of(SCRIPT, 2), inline_style=total_of(STYLE, 1))
+    return cut.select("page", "total", "inline_script", "inline_style", F.greatest(F.col("total") - F.col("inline_script") - F.col("inline_style"), F.lit(0)).alias("markup"))
+
+
+def scripts(pages: DataFrame) -> DataFrame:
+    """`page, pos, name, body` of inline scripts; the name is an id, or the variable that the data is assigned to."""
+    both = F.arrays_zip(F.regexp_extract_all("text", F.lit(SCRIPT), F.lit(1)).alias("a"), F.regexp_extract_all("text", F.lit(SCRIPT), F.lit(2)).alias("b"))
+    each = pages.select("page", F.posexplode(both).alias("pos", "s")).select("page", "pos", F.col("s.a").alias("attrs"), F.col("s.b").alias("body")).filter(F.trim("body") != "")
+    head = F.substring("body", 1, 400)
+    names = [F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for c in (F.col("attrs"), head) for p in PAYLOAD_NAMES]
+    return each.select("page", "pos", F.coalesce(*names, F.lit("(anonymous)")).alias("name"), "body")
 
 
 def payloads(pages: DataFrame) -> DataFrame:
     """`page, name, size, json_like` of inline scripts."""
-    each = pages.select("page", F.posexplode(F.regexp_extract_all("text", F.lit(SCRIPT), F.lit(0))).alias("i", "tag"))
-    body = F.trim(F.regexp_extract("tag", SCRIPT, 2))
-    name = F.coalesce(F.nullif(F.regexp_extract("tag", r"""(?is)^<script\b[^>]*\bid\s*=\s*["']([^"']+)""", 1), F.lit("")), F.concat(F.lit("script"), F.col("i")))
-    return each.select("page", name.alias("name"), F.length(body).alias("size"), body.rlike(r"(?s)^\s*[\[{]|^[\w.$]+\s*=\s*[\[{]").alias("json_like")).filter("size > 0")
+    json_like = F.trim("body").rlike(r"^[\[{]") | F.substring(F.trim("body"), 1, 400).rlike(r"=\s*[{\[]")
+    return scripts(pages).select("page", "name", F.length("body").alias("size"), json_like.alias("json_like"))
 
 
-def diagnosis(pages: DataFrame, blocked: Column | None = None) -> DataFrame:
+def diagnosis(pages: DataFrame) -> DataFrame:
     """`page, words, density, verdict`: whether a page's text can be had as it is (ok), lies in inline data (embedded), needs a browser (spa), or is withheld (blocked)."""
     biggest = payloads(pages).groupBy("page").agg(F.max(F.struct("size", "json_like")).alias("big"))
     shown = markdown(pages).select("page", words(F.col("markdown")).alias("words"))
-    size = pages.select("page", F.length("text").alias("size"), F.col("text").rlike(r"""(?i)<div[^>]+id=["'](?:root|app|__next|__nuxt)["']""").alias("root"), F.size(F.regexp_extract_all("text", F.lit(r"(?i)<script[^>]+src="), F.lit(0))).alias("bundles"))
+    size = pages.select("page", F.length("text").alias("size"), F.col("text").rlike(APP_ROOT).alias("root"), F.col("text").rlike(BLOCKED).alias("gate"), F.size(F.regexp_extract_all("text", F.lit(r"(?i)<script[^>]+src="), F.lit(0))).alias("bundles"))
     met = size.join(shown, "page").join(biggest, "page", "left")
     density = F.col("words") / F.greatest(F.col("size") / 1024, F.lit(1.0))
     verdict = (
-        F.when(blocked if blocked is not None else F.lit(False), "blocked")
+        F.when(F.col("gate"), "blocked")
         .when((F.col("words") >= OK_WORDS) & (density >= OK_DENSITY), "ok")
         .when((F.col("big.size") >= BIG_PAYLOAD) & F.col("big.json_like"), "embedded")
-        .when(F.col("root") | (F.col("bundles") >= 3), "spa")
+        .when(F.col("root") | (F.col("bundles") >= BUNDLES), "spa")
         .when(F.col("size") < SMALL_PAGE, "blocked")
         .otherwise("spa")
     )
@@ -116,6 +143,7 @@ def diagnosis(pages: DataFrame, blocked: Column | None = None) -> DataFrame:
 
 def prose_score(text: Column) -> Column:
     """How much a string reads like prose; 0 for short ones, for code, and for texts without blanks."""
+    text = F.regexp_replace(text, r"^\s+|\s+$", "")
     n, blanks = F.length(text), F.length(text) - F.length(F.replace(text, F.lit(" ")))
     ratio = blanks / F.greatest(n, F.lit(1))
     return F.when((n < LEAST_LENGTH) | text.rlike(MACHINE) | (ratio < LEAST_BLANKS), 0.0).otherwise(F.regexp_count(text, F.lit(PROSE)) * F.sqrt(n.cast("double")) * ratio)
@@ -141,10 +169,12 @@ class JsonStrings:
 
 
 def islands(pages: DataFrame) -> DataFrame:
-    """`page, name, body`: the JSON of inline scripts, bare or assigned to a name."""
-    each = pages.select("page", F.posexplode(F.regexp_extract_all("text", F.lit(SCRIPT), F.lit(2))).alias("i", "body"))
-    bare = F.regexp_replace(F.trim("body"), r"(?s)^(?:window\.)?[\w.$]+\s*=\s*|;\s*$", "")
-    return each.select("page", F.concat(F.lit("script"), "i").alias("name"), bare.alias("body")).filter(F.col("body").rlike(r"(?s)^[\[{]") & F.try_parse_json("body").isNotNull())
+    """`page, name, pos, body`: the JSON of inline scripts, bare or assigned to a name."""
+    body = F.regexp_replace("body", r"^\s+|\s+$", "")
+    after = F.regexp_replace(F.substring(body, F.instr(body, "=") + 1, F.length(body)), r"^\s+|[\s;]+$", "")
+    bare = F.when(body.rlike(r"^[\[{]"), body).when(F.instr(body, "=") > 0, after)
+    each = scripts(pages).select("page", "name", "pos", bare.alias("body"))
+    return each.filter(F.col("body").rlike(r"^[\[{]") & F.try_parse_json("body").isNotNull())
 
 
 def island_text(pages: DataFrame) -> DataFrame:
@@ -152,11 +182,11 @@ def island_text(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     islands(pages).createOrReplaceTempView("_islands")
     spark.udtf.register("_json_strings", JsonStrings)
-    leaves = spark.sql("SELECT page, name, path, value FROM _islands, LATERAL _json_strings(body)")
+    leaves = spark.sql("SELECT page, name, pos, path, value FROM _islands, LATERAL _json_strings(body)")
     scored = leaves.withColumn("score", prose_score(F.col("value"))).filter("score > 0")
-    top = scored.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("score"), "name", "path"))).filter(F.col("place") <= MOST_TEXTS)
-    first = top.withColumn("again", F.row_number().over(Window.partitionBy("page", F.substring("value", 1, SAME_PREFIX)).orderBy("place"))).filter("again = 1")
-    return first.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]), "\n\n").alias("text"))
+    top = scored.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("score"), "pos", "path"))).filter(F.col("place") <= MOST_TEXTS)
+    first = top.withColumn("again", F.row_number().over(Window.partitionBy("page", F.substring(F.trim("value"), 1, SAME_PREFIX)).orderBy("place"))).filter("again = 1")
+    return first.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: F.trim(x["value"])), "\n\n").alias("text"))
 
 
 def best_text(pages: DataFrame) -> DataFrame:
@@ -164,3 +194,115 @@ def best_text(pages: DataFrame) -> DataFrame:
     both = markdown(pages).join(island_text(pages), "page", "left")
     inner = words(F.coalesce("text", F.lit(""))) > words(F.col("markdown"))
     return both.select("page", F.when(inner, F.col("text")).otherwise(F.col("markdown")).alias("text"), F.when(inner, "json").otherwise("html").alias("origin"))
+
+
+class Element:
+    """A node of a parsed page."""
+
+    __slots__ = ("tag", "attrs", "open", "children", "parent")
+
+    def __init__(self, tag: str, attrs: dict[str, str], opening: str, parent: Element | None):
+        self.tag, self.attrs, self.open, self.parent = tag, attrs, opening, parent
+        self.children: list[Element | str] = []
+
+    def chrome(self) -> bool:
+        a = self.attrs
+        return self.tag in CHROME_TAGS or a.get("role") in CHROME_ROLES or a.get("aria-hidden") == "true" or "hidden" in a
+
+    def matches(self, selector: str) -> bool:
+        if selector[0] == "#":
+            return self.attrs.get("id") == selector[1:]
+        if selector[0] == ".":
+            return selector[1:] in (self.attrs.get("class") or "").split()
+        if selector[0] == "[":
+            name, _, value = selector[1:-1].partition("=")
+            return self.attrs.get(name) == value.strip('"')
+        return self.tag == selector
+
+    def walk(self):
+        """The elements below, in document order, without those that are never content."""
+        for c in self.children:
+            if isinstance(c, Element) and not c.chrome():
+                yield c
+                yield from c.walk()
+
+    def text(self) -> str:
+        return "".join(c if isinstance(c, str) else "" if c.chrome() else c.text() for c in self.children)
+
+    def size(self) -> int:
+        return len(" ".join(self.text().split()))
+
+    def inner(self) -> str:
+        return "".join(html.escape(c, quote=False) if isinstance(c, str) else "" if c.chrome() else f"{c.open}{c.inner()}</{c.tag}>" for c in self.children)
+
+
+class Tree(HTMLParser):
+    VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+    DEEPEST = 200
+
+    def __init__(self, source: str):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = Element("document", {}, "", None)
+        self.depth = 0
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        node = Element(tag, {k: v or "" for k, v in attrs}, self.get_starttag_text() or f"<{tag}>", self.at)
+        self.at.children.append(node)
+        if tag not in self.VOID and self.depth < self.DEEPEST:
+            self.at, self.depth = node, self.depth + 1
+
+    def handle_startendtag(self, tag, attrs):
+        self.at.children.append(Element(tag, {k: v or "" for k, v in attrs}, f"<{tag}>", self.at))
+
+    def handle_endtag(self, tag):
+        node, up = self.at, 0
+        while node.parent is not None and node.tag != tag:
+            node, up = node.parent, up + 1
+        if node.parent is not None:
+            self.at, self.depth = node.parent, self.depth - up - 1
+
+    def handle_data(self, data):
+        self.at.children.append(data)
+
+
+def pick_main(source: str) -> tuple[str, str, int]:
+    """(HTML, how it was found, characters) of a page's main content: a named container with enough text, else the container with most
+    text in content elements (of equals the deeper), else the best of either, else the body."""
+    root = Tree(source).root
+    every, named = list(root.walk()), (0, "", None)
+    for selector in MAIN:
+        for e in every:
+            if e.matches(selector):
+                n = e.size()
+                if n >= LEAST_MAIN:
+                    return e.inner(), selector, n
+                if n > named[0]:
+                    named = (n, selector, e)
+    best, score = None, (0, 0)
+    for e in every:
+        if e.tag in CONTAINERS:
+            depth, up = 0, e
+            while up is not None:
+                depth, up = depth + 1, up.parent
+            mine = (sum(b.size() for b in e.walk() if b.tag in TEXT_TAGS), depth)
+            if mine[0] > 0 and mine > score:
+                best, score = e, mine
+    if best is not None and (score[0] >= LEAST_MAIN or score[0] > named[0]):
+        return best.inner(), "densest-block", score[0]
+    if named[2] is not None:
+        return named[2].inner(), named[1], named[0]
+    body = next((e for e in every if e.tag == "body"), root)
+    return body.inner(), "body", body.size()
+
+
+def _pick(batches):
+    for batch in batches:
+        got = [pick_main(t) if t else ("", "body", 0) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.int64())], names=["page", "text", "via", "chars"])
+
+
+def main_elements(pages: DataFrame) -> DataFrame:
+    """`page, text, via, chars`: the HTML of each page's main content and how it was found."""
+    return pages.select("page", "text").mapInArrow(_pick, "page string, text string, via string, chars bigint")

@@ -27,6 +27,10 @@ def html_diagnosis(spark, sf_dir):
     return H.diagnosis(doc_pages(spark, sf_dir))
 
 
+def html_main(spark, sf_dir):
+    return H.main_elements(doc_pages(spark, sf_dir)).select("page", "via", "chars")
+
+
 ISLANDS = [("a", '<script id="data">{"intro": {"body": "The guide tells you how the index works and what you can do with it in your own app, for this is the way."}}</script>'), ("b", '<script>window.state = {"k": ["short", "https://x.example/a"]};</script>'), ("c", "<script>var x = 1</script><p>no data</p>")]
 
 
@@ -88,12 +92,12 @@ def safe_paths(spark, sf_dir):
     return doc_pages(spark, sf_dir).select("page", P.safe_path(F.col("path")).alias("file"))
 
 
-QUERIES = {f.__name__: f for f in (html_markdown, html_links, html_budget, html_diagnosis, html_islands, html_payloads, page_first_heading, page_areas, url_filter, link_crawl, sitemap, robots_rules, robots_allowed, api_pages, safe_paths)}
+QUERIES = {f.__name__: f for f in (html_markdown, html_main, html_links, html_budget, html_diagnosis, html_islands, html_payloads, page_first_heading, page_areas, url_filter, link_crawl, sitemap, robots_rules, robots_allowed, api_pages, safe_paths)}
 
 SQL = {
-    "html_budget": f"""WITH {PAGES}, b AS (SELECT page, length(text) AS total, list_sum(list_transform(list_filter(regexp_extract_all(text, '(?is)<script\\b[^>]*>.*?</script>'), lambda s: NOT regexp_matches(s, '(?i)^<script[^>]*\\bsrc=')), lambda s: length(s))) AS js,
-        list_sum(list_transform(regexp_extract_all(text, '(?is)<style\\b.*?</style>'), lambda s: length(s))) AS css FROM pg)
-        SELECT page, CAST(total AS INT) AS total, CAST(coalesce(js, 0) AS INT) AS inline_script, CAST(coalesce(css, 0) AS INT) AS inline_style, CAST(total - coalesce(js, 0) - coalesce(css, 0) AS INT) AS markup FROM b""",
+    "html_budget": f"""WITH {PAGES}, b AS (SELECT page, length(text) AS total, list_sum(list_transform(regexp_extract_all(text, '(?is)<script\\b([^>]*)>(.*?)</script>', 2), lambda s: length(s))) AS js,
+        list_sum(list_transform(regexp_extract_all(text, '(?is)<style\\b[^>]*>(.*?)</style>', 1), lambda s: length(s))) AS css FROM pg)
+        SELECT page, CAST(total AS INT) AS total, CAST(coalesce(js, 0) AS INT) AS inline_script, CAST(coalesce(css, 0) AS INT) AS inline_style, CAST(greatest(total - coalesce(js, 0) - coalesce(css, 0), 0) AS INT) AS markup FROM b""",
     "page_first_heading": f"""WITH {PAGES} SELECT page, nullif(regexp_extract(text, '(?m)^#{{1,6}}[ \\t]+(\\S.*?)[ \\t]*#*[ \\t\\r]*$', 1), '') AS heading,
         nullif(trim(regexp_extract(regexp_extract(text, '(?s)\\A---\\n(.*?)\\n---\\n', 1), '(?m)^title:[ \\t]*(\\S.*?)[ \\t\\r]*$', 1), '"'''), '') AS front FROM pg""",
     "page_areas": f"WITH {PAGES}, a AS (SELECT regexp_replace(path, '^v1/', '') AS p FROM pg) SELECT CASE WHEN instr(p, '/') > 0 THEN split_part(p, '/', 1) ELSE '(root)' END AS area, count(*) AS n FROM a GROUP BY 1",

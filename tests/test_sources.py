@@ -97,10 +97,29 @@ def test_html(spark):
     assert "## H i\n" in text and "`c`" in text and "```\nd\n e\n```" in text and "f\n" in text and "<" not in text and "n" not in text.split("##")[0]
     assert {r["link"] for r in H.links(df).collect()} == {"https://h/x", "https://h/y", "https://h/q/w"}
     b = H.budget(df).first()
-    assert b["inline_script"] == len("<script>var a = 1;</script>") and b["inline_style"] == len("<style>s</style>") and b["total"] == len(html)
+    assert b["inline_script"] == len("var a = 1;") and b["inline_style"] == 1 and b["total"] == len(html)
     assert H.diagnosis(df).first()["verdict"] == "blocked"
 
 
+LONG = "Words of the page, one after the other. " * 8
+
+
+@pytest.mark.parametrize(
+    ("source", "via", "chars"),
+    [
+        (f"<body><nav>{LONG}</nav><main><p>{LONG}</p><aside>x</aside></main></body>", "main", 319),
+        (f"<main>short</main><div id='content'><p>{LONG}</p></div>", "#content", 319),
+        (f"<body><div><div><p>{LONG}</p></div><span>{LONG}</span></div></body>", "densest-block", 319),
+        ("<body><main>tiny</main><div>no block</div></body>", "main", 4),
+        ("<body><div><p>some</p></div></body>", "densest-block", 4),
+        ("<body>bare <b>text</b><script>x</script></body>", "body", 9),
+        ("", "body", 0),
+    ],
+)
+def test_main_content(source, via, chars):
+    assert H.pick_main(source)[1:] == (via, chars)
+
+
 def test_json_islands(spark):
     prose = "This is the guide to the index, and you can use it for all of your data in the app that you are on."
     df = spark.createDataFrame([("p", f'<p>x</p><script>window.s = {json.dumps({"a": [prose, prose + " More of the same."], "b": "https://h/x", "c": "{}" * 60})};</script>'), ("q", "<p>one two</p><script>{bad</script>")], "page string, text string")
