@@ -286,8 +286,9 @@ def surroundings(pages: DataFrame) -> DataFrame:
     paths = durable(page_paths(pages))
     won = durable(winners(durable(votes(paths))))
     every = paths.filter(F.col("site").isNotNull()).select("page_id", "site", "lines").unionByName(adopted(paths, won))
-    lines = every.select("page_id", "site", F.inline("lines"))
-    return lines.join(broadcast_checked(won), ["site", "path"], "left_semi").select("page_id", "line_no").distinct()
+    lines = every.select("page_id", "site", F.inline("lines")).select("page_id", "line_no", F.xxhash64("site", "path").alias("key"))
+    keys = durable(won.select(F.xxhash64("site", "path").alias("key")).distinct())
+    return lines.join(broadcast_checked(keys), "key", "left_semi").select("page_id", "line_no").distinct()
 
 
 def main_content(pages: DataFrame) -> DataFrame:
