@@ -185,14 +185,25 @@ def excluded(path: Column, patterns: tuple[str, ...]) -> Column:
     return out
 
 
+def shared_lines(pages: DataFrame) -> DataFrame:
+    """The lines of all pages, hashed by page once for the windows of all checks.
+
+    Columns pass the exchange as one array, as each check would else prune them its own way and make an exchange of its own; of lines
+    that no check reads only whether they are blank goes along.
+    """
+    read = F.col("text").rlike(f"{HEADING}|{CALLOUT}|{ROW}")
+    said = F.when(read, F.col("text")).when(F.trim("text") == "", "").otherwise("-")
+    narrow = M.page_lines(pages).select("page", F.array(F.struct("line", said.alias("text"), F.when(F.col("raw").rlike(FENCE), F.col("raw")).otherwise("").alias("raw"))).alias("_l"))
+    return narrow.repartition("page").select("page", F.inline("_l"))
+
+
 def issues(pages: DataFrame, policy: Policy | None = None) -> DataFrame:
     """`check_id, page, line, level, message` of every structural issue; `pages` has `page` and `text`, a null text counts as empty."""
     policy = policy or Policy()
     pages = pages.select("page", F.coalesce("text", F.lit("")).alias("text"))
     if policy.exclude:
         pages = pages.filter(~excluded(F.col("page"), policy.exclude))
-    # one exchange by page serves the windows of all checks
-    lines = M.page_lines(pages).repartition("page")
+    lines = shared_lines(pages)
     heads = headings(lines)
     named = titles(pages, heads, policy)
     parts = [heading_skips(heads), multiple_h1(heads), duplicate_headings(heads), empty_headings(lines), missing_titles(named), titles_not_unique(named), fence_labels(lines, policy), callouts(lines, policy), table_checks(table_rows(lines), policy), placeholders(pages, policy)]

@@ -105,4 +105,11 @@ SQL = {
     "sitemap": f"WITH {values('x', 'xml', XML)}, l AS (SELECT regexp_extract_all(xml, '(?is)<loc>\\s*(.*?)\\s*</loc>', 1) AS u FROM x) SELECT CAST(generate_subscripts(u, 1) - 1 AS INT) AS pos, replace(unnest(u), '&amp;', '&') AS url FROM l",
     "robots_allowed": f"WITH {values('u', 'pos, url', URLS)} SELECT CAST(pos AS BIGINT) AS pos, url FROM u WHERE NOT regexp_matches(url, '^https://x.example/private') OR regexp_matches(url, '^https://x.example/private/open')",
     "safe_paths": f"WITH {PAGES} SELECT page, CASE WHEN regexp_matches(path, '\\.mdx?$') THEN path ELSE path || '.md' END AS file FROM pg",
+    "html_payloads": f"""WITH {values('x', 'page, text', ISLANDS)}, t AS (SELECT page, unnest(regexp_extract_all(text, '(?is)<script\\b([^>]*)>(.*?)</script>', 1)) AS attrs, unnest(regexp_extract_all(text, '(?is)<script\\b([^>]*)>(.*?)</script>', 2)) AS body FROM x)
+        SELECT page, coalesce(nullif(regexp_extract(attrs, 'id="([^"]+)"', 1), ''), nullif(regexp_extract(body, 'window\\.(\\w+)\\s*=', 1), ''), nullif(regexp_extract(body, '^\\s*var (\\w+)\\s*=', 1), ''), '(anonymous)') AS name, CAST(length(body) AS INT) AS size,
+        regexp_matches(body, '^\\s*[\\[{{]') OR regexp_matches(body, '=\\s*[{{\\[]') AS json_like FROM t WHERE trim(body) <> ''""",
+    "api_pages": f"""WITH {values('r', 'response', API)}, i AS (SELECT unnest(CAST(json_extract(response, '$.data.items') AS JSON[])) AS item FROM r),
+        f AS (SELECT item->>'$.id' AS page, coalesce(item->>'$.attributes.body', item->>'$.attributes[0].body') AS text, coalesce(item->>'$.attributes.title', item->>'$.attributes[0].title') AS title FROM i)
+        SELECT page, text, title, '' AS url, '' AS revision FROM f WHERE trim(text) <> ''""",
+    "robots_rules": "SELECT * FROM (VALUES ('*', 'disallow', '/private', NULL), ('*', 'allow', '/private/open', NULL), ('bot', 'crawl-delay', NULL, CAST(2 AS DOUBLE)), ('other', 'crawl-delay', NULL, CAST(2 AS DOUBLE)), ('bot', 'disallow', '/', NULL), ('other', 'disallow', '/', NULL)) t(agent, rule, path, crawl_delay)",
 }

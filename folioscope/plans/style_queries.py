@@ -165,3 +165,20 @@ SQL |= {
     "prose_segments": f"""WITH {PAGES}, c AS (SELECT page, list_filter(flatten(list_transform(list_zip(regexp_split_to_array(text, '{block()}'), regexp_extract_all(text, '{block()}')), lambda x: [{{'p': true, 't': coalesce(x[1], '')}}, {{'p': false, 't': coalesce(x[2], '')}}])), lambda s: s.t <> '') AS s FROM pg)
         SELECT page, CAST(generate_subscripts(s, 1) - 1 AS INT) AS seq, unnest(s).p AS prose, CAST(length(unnest(s).t) AS INT) AS chars FROM c""",
 }
+
+
+def _replacement_sql() -> str:
+    parts = []
+    for r in _plain():
+        if r.kind != "substitution":
+            continue
+        flag = "(?i)" if r.ignorecase else ""
+        cases = ""
+        for key, value in r.swap.items():
+            new = f"regexp_replace(found, '{flag}{_sql(key)}', '{_sql(value.replace('$1', chr(92) + '1'))}')" if "$" in value else f"'{_sql(value)}'"
+            cases += f" WHEN regexp_full_match(found, '{flag}(?:{_sql(key)})') THEN {new}"
+        parts.append(f"SELECT page, rule, line, found, CASE{cases} END AS replacement FROM alerts WHERE rule = '{r.name}'")
+    return f"WITH {ALERTS}, rp AS ({' UNION ALL '.join(parts)}) SELECT page, rule, line, found, replacement FROM rp WHERE replacement IS NOT NULL AND replacement <> found"
+
+
+SQL["style_replacements"] = _replacement_sql()
