@@ -1,8 +1,10 @@
 """Lines repeated across one site's pages.
 
-State: a table of (site, key) with the number of pages that hold the key, and one of sites with their number of pages. A new
-partition of pages is counted by itself and merged as a delta; where the merged count crosses the threshold (which moves too, as
-the site grows), the key is newly crossed or newly uncrossed, and only pages that hold such a key are built anew.
+State: a table of (site, key) with the number of pages that hold the key, one of sites with their number of pages, and each page's
+line keys; it is saved after a run and loaded by the next. A new partition of pages is counted by itself and merged as a delta (pages
+delivered anew take their earlier counts back); where the merged count crosses the threshold (which moves too, as the site grows),
+the key is newly crossed or newly uncrossed. Built anew are the partition's pages and those that hold such a key. The first run has
+the empty state, so that every page comes out.
 
 The key of a line is its words without everything of the form <...>, each run of digits read as 0. Lines under `least_words` words
 have no key. A key is repeated if it stands on `least_pages` distinct pages of the site and on `least_share` of the site's pages.
@@ -17,7 +19,9 @@ else by a shuffle on (key), where a site's lines spread over all its keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.core.runtime import broadcast_checked, current, durable
@@ -59,7 +63,7 @@ def merge(state: DataFrame, delta: DataFrame, keys: list[str], count: str) -> Da
 def crossings(keys: DataFrame, sites: DataFrame, least_pages: int = LEAST_PAGES, share_percent: int = LEAST_SHARE_PERCENT) -> DataFrame:
     """`site, key, was, now`: for merged counts, whether the key was repeated before the delta and is now; keys that are neither are left out."""
     sites = sites.withColumnRenamed("old", "old_pages")
-    met = keys.filter(F.col("n_pages") >= least_pages).join(broadcast_checked(sites), "site")
+    met = keys.filter(F.greatest("old", "n_pages") >= least_pages).join(broadcast_checked(sites), "site")
     passes = lambda n, all_: (F.col(n) >= least_pages) & (F.col(n) * 100 >= F.col(all_) * share_percent)
     return met.select("site", "key", passes("old", "old_pages").alias("was"), passes("n_pages", "site_pages").alias("now")).filter("was OR now")
 
@@ -86,18 +90,63 @@ def repeated_lines(pages: DataFrame) -> DataFrame:
     return lines.select("page_id", F.inline("lines")).join(broadcast_checked(keys), "key", "left_semi").select("page_id", "line_no")
 
 
-def rebuilt_pages(pages: DataFrame) -> DataFrame:
-    """`page_id, n_removed, text` of the pages that the last delta concerns: new ones, and old ones that hold a key which crossed.
+class State(NamedTuple):
+    """What a run leaves for the next: `page_id, loaded_at, site, lines`; `site, key, n_pages`; `site, site_pages`."""
+
+    lines: DataFrame
+    keys: DataFrame
+    sites: DataFrame
+
+
+def save(state: State, folder: str) -> None:
+    """Writes the state to a new folder; the one it was loaded from stays as it is."""
+    for name, df in state._asdict().items():
+        df.write.parquet(f"{folder}/{name}")
+
+
+def load(spark: SparkSession, folder: str) -> State:
+    return State(*(spark.read.parquet(f"{folder}/{name}") for name in State._fields))
+
 
-    The text comes without its repeated lines. Pages outside need no work: their lines' keys kept their side of the threshold.
+def advance(state: State | None, partition: DataFrame) -> tuple[State, DataFrame, DataFrame]:
+    """The state after a partition of pages, the keys that were or are repeated (`site, key, was, now`), and the `page_id` of the pages
+    that the partition adds or replaces. A delivery older than the stored one changes nothing."""
+    lines = durable(page_lines(partition))
+    if state is None:
+        old, fresh, after = State(lines.limit(0), *count_delta(lines.limit(0))), lines, lines
+        new_keys, new_sites = count_delta(lines)
+    else:
+        old = state
+        stored = old.lines.select("page_id", F.col("loaded_at").alias("_at"), F.lit(True).alias("_stored"))
+        newer = F.col("_stored").isNull() | F.col("_at").isNull() | (F.col("loaded_at") >= F.col("_at"))
+        fresh = durable(lines.join(stored, "page_id", "left").filter(newer).select(lines.columns))
+        replaced = durable(old.lines.join(fresh.select("page_id"), "page_id", "left_semi"))
+        after = durable(old.lines.join(fresh.select("page_id"), "page_id", "left_anti").unionByName(fresh))
+        (add_keys, add_sites), (less_keys, less_sites) = count_delta(fresh), count_delta(replaced)
+        new_keys = add_keys.unionByName(less_keys.withColumn("n_pages", -F.col("n_pages")))
+        new_sites = add_sites.unionByName(less_sites.withColumn("site_pages", -F.col("site_pages")))
+    keys = durable(merge(old.keys, new_keys, ["site", "key"], "n_pages"))
+    sites = durable(merge(old.sites, new_sites, ["site"], "site_pages"))
+    now = State(after, keys.filter("n_pages > 0").select("site", "key", "n_pages"), sites.filter("site_pages > 0").select("site", "site_pages"))
+    return now, crossings(keys, sites), fresh.select("page_id")
+
+
+def rebuild(pages: DataFrame, partition: DataFrame, state: State | None = None) -> tuple[DataFrame, State]:
+    """`page_id, n_removed, text` of the pages that a partition concerns: its own, and others that hold a key which crossed; and the
+    state to save. `pages` has the texts of all pages, the partition's included.
+
+    The text comes without its repeated lines. Pages outside came out of an earlier run, and their lines' keys kept their side of the threshold.
     """
-    lines = durable(page_lines(pages))
-    keys = durable(repeated_keys(lines))
-    _, delta = batches(lines)
-    met = lines.select("page_id", F.inline("lines")).join(broadcast_checked(keys.select("key", "was", "now")), "key")
+    now, keys, fresh = advance(state, partition)
+    met = now.lines.select("page_id", F.inline("lines")).join(broadcast_checked(durable(keys.select("key", "was", "now"))), "key")
     per_page = met.groupBy("page_id").agg(F.max((F.col("was") != F.col("now")).cast("int")).alias("crossed"), F.array_sort(F.collect_list(F.when(F.col("now"), F.col("line_no")))).alias("drop"))
-    fresh = delta.select("page_id", F.lit(1).alias("fresh"))
-    todo = per_page.join(fresh, "page_id", "full").filter("crossed = 1 OR fresh = 1").select("page_id", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
-    texts = identified(pages, "page_id").select("page_id", "loaded_at", F.coalesce("text", F.lit("")).alias("text")).join(todo, "page_id", "left_semi")
+    todo = per_page.join(fresh.withColumn("fresh", F.lit(1)), "page_id", "full").filter("crossed = 1 OR fresh = 1").select("page_id", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
+    todo = durable(todo)
+    texts = identified(pages, "page_id").filter(site_column(F.col("url")).isNotNull()).select("page_id", "loaded_at", F.coalesce("text", F.lit("")).alias("text")).join(todo, "page_id", "left_semi")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("drop", (i + 1).cast("int")))
-    return current(texts, "page_id", "loaded_at").join(todo, "page_id").select("page_id", F.size("drop").alias("n_removed"), F.array_join(kept, "\n").alias("text"))
+    return current(texts, "page_id", "loaded_at").join(todo, "page_id").select("page_id", F.size("drop").alias("n_removed"), F.array_join(kept, "\n").alias("text")), now
+
+
+def rebuilt_pages(pages: DataFrame) -> DataFrame:
+    """`page_id, n_removed, text` of all pages of all sites, without their repeated lines: the first run, from the empty state."""
+    return rebuild(pages, pages)[0]

@@ -217,6 +217,29 @@ def test_threshold_crossings_both_ways(spark):
     assert got == {1: (True, True), 2: (False, True), 3: (True, False)}
 
 
+def test_every_page_comes_out_clean_and_later_runs_rebuild_what_crossed(spark, tmp_path):
+    """From the empty state all pages come out; with the saved state only new pages and those whose keys crossed."""
+    url = "https://a.example/x"
+    first = [(i, f"own words of page {chr(97 + i)}\nRead our friendly newsletter today" if i < 4 else f"own words of page {chr(97 + i)}", url, T) for i in range(10)]
+    first += [(100 + i, f"text {chr(97 + i)} stands here alone\nthe footer of site b", "https://b.example/", T) for i in range(5)]
+    second = [(20, "one more\nRead our friendly newsletter today", url, T + dt.timedelta(days=1))]
+    third = [(20, "one more page without that line", url, T + dt.timedelta(days=2)), (0, "too late", url, T - dt.timedelta(days=1))]
+    run, texts, rows, state = {}, {}, [], None
+    for day, part in enumerate([first, second, third]):
+        rows += part
+        out, state = repeated_lines.rebuild(spark.createDataFrame(rows, PAGE), spark.createDataFrame(part, PAGE), state)
+        run[day] = {r["page_id"]: r["text"] for r in out.collect()}
+        texts |= run[day]
+        repeated_lines.save(state, f"{tmp_path}/{day}")
+        state = repeated_lines.load(spark, f"{tmp_path}/{day}")
+        whole = repeated_lines.rebuilt_pages(spark.createDataFrame(rows, PAGE)).collect()
+        assert len(whole) == len({r[0] for r in rows})
+        assert texts == {r["page_id"]: r["text"] for r in whole}
+    assert len(run[0]) == 15 and run[0][100] == "text a stands here alone" and "newsletter" in run[0][0]
+    assert set(run[1]) == {0, 1, 2, 3, 20} and "newsletter" not in run[1][0]
+    assert set(run[2]) == {0, 1, 2, 3, 20} and "newsletter" in run[2][0]
+
+
 # --- packing
 
 
