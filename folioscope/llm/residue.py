@@ -204,8 +204,19 @@ class Exemplars:
         for i, s in enumerate(self.sets):
             for t in s:
                 self.index[t].append(i)
-        #: A window is looked at if it has a term that few pages have, or a filler's.
-        self.key = {t for t, w in self.weight.items() if w > 2.0}
+        others = frozenset().union(*(s for s, k in zip(self.sets, self.kinds, strict=True) if k not in ("filler", "explained")))
+        #: Of each exemplar the terms of which a matching window has at least one, whatever the frequencies: the others hold too little of it.
+        self.gates = [self.sets[i] - others if k == "filler" else self._gate(i) for i, k in enumerate(self.kinds)]
+        self.key = frozenset().union(*(g for g, k in zip(self.gates, self.kinds, strict=True) if k not in ("explained", "value")))
+
+    def _gate(self, i: int) -> frozenset[str]:
+        gate, rest = set(), self.total[i]
+        for t in sorted(self.sets[i], key=lambda t: (-self.weight[t], t)):
+            if rest < EXEMPLAR_COVERED * self.total[i]:
+                break
+            gate.add(t)
+            rest -= self.weight[t]
+        return frozenset(gate)
 
     def containment(self, window: set[str]) -> tuple[dict[int, float], float]:
         """The common weight of the window with each exemplar that shares a term, and the window's own weight."""
@@ -233,7 +244,7 @@ class Exemplars:
         for i in sorted(common):
             covered, held = common[i] / whole, common[i] / self.total[i]
             if self.kinds[i] == "filler":
-                hit = covered >= FILLER_COVERED and len(window) >= FILLER_WORDS and len(known & self.sets[i] & self.key) >= 2
+                hit = covered >= FILLER_COVERED and len(window) >= FILLER_WORDS and len(known & self.gates[i]) >= 2
             elif self.kinds[i] in ("explained", "value"):
                 against = max(against, held if self.kinds[i] == "explained" else 0.0)
                 continue

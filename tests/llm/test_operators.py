@@ -176,6 +176,14 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(251)) and all(got[i] == i for i in range(251, 300))
 
 
+@pytest.mark.parametrize("line", ["Loading, please wait", "Access denied", "You do not have permission to access this resource.", "Lorem ipsum dolor sit amet consectetur adipiscing elit"])
+@pytest.mark.parametrize("n", [3, 60])
+def test_residue_that_a_third_of_the_pages_are(spark, line, n):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 40) if i % 3 else line, None, T) for i in range(n)]
+    assert sorted(r["page_id"] for r in residue.residue_pages(spark.createDataFrame(rows, PAGE)).collect()) == list(range(0, n, 3))
+
+
 # --- repeated lines
 
 
