@@ -2,7 +2,9 @@
 
 Labelled exemplars (scripts required, errors, access, waiting, stubs, filler, unfilled values, and, as counter-examples, sentences
 that explain such things) stand in an inverted index from term to exemplar. A page without its code, inline code and front matter is
-cut into passage windows, its lines. The index returns the exemplars that share a term with a window; of each the TF-IDF containment
+cut into passage windows: its lines, its sentences and the contents of its elements (within a line and across line ends), and spans of
+about an exemplar's length that begin and end anywhere. Only messages of under SPAN_TERMS terms need a window of their own, as prose
+names them within its sentences. The index returns the exemplars that share a term with a window; of each the TF-IDF containment
 is taken both ways: the share of the window's weight that the exemplar covers, and the share of the exemplar's weight that the window
 covers. A window covered highly by a residue exemplar, and not as highly by a counter-example, is residue. Term weights come from the
 document frequencies over all pages.
@@ -35,8 +37,10 @@ WINDOW_COVERED, EXEMPLAR_COVERED = 0.75, 0.7
 FILLER_COVERED, FILLER_WORDS = 0.8, 4
 #: Share of a counter-example's weight near a value, from which the value is an example.
 EXPLAINED = 0.5
-#: Weight of a term that no exemplar has, as a share of the greatest weight; words of windows longer than this can match filler only.
-UNKNOWN, LONGEST = 0.35, 40
+#: Weight of a term that no exemplar has, as a share of the greatest weight.
+UNKNOWN = 0.35
+#: Distinct terms from which an exemplar is found within a sentence too; a shorter message there is named by it ("returns 404 Not Found").
+SPAN_TERMS = 5
 #: Words before and after an unfilled value that make its window.
 NEAR = 7
 
@@ -149,6 +153,9 @@ CODE = [
 ]
 TAG = re.compile(r"</?[A-Za-z][^<>]*>|\\(?:begin|end|section|subsection|subsubsection|emph|textbf|item|title)\b\*?")
 
+#: Where a passage ends within a line: a sentence's end, or a tag of an element that is no part of running text.
+END = re.compile(r"[.!?…]+[\"'”’)\]*_]*(?=\s|$)|</?(?!(?:a|abbr|b|em|font|i|mark|q|s|small|span|strong|sub|sup|u)\b)[A-Za-z][^<>]*>", re.I)
+
 
 def strip_code(text: str) -> str:
     """The text without code, inline code, comments and front matter; lines stay."""
@@ -168,18 +175,49 @@ def terms(text: str) -> list[str]:
     return [w if w.isalpha() or w[0] == "§" else "0" for w in TERM.findall(text.lower())]
 
 
-def windows(text: str):
-    """The lines of a text as lists of terms, with hosts and unfilled values as terms of their own."""
+def prepared(text: str):
+    """The lines of a text with hosts and unfilled values as terms of their own; null for a blank line."""
     for line in strip_code(text).split("\n"):
         if not line or line.isspace():
+            yield None
             continue
         if "." in line and DOMAIN.search(line):
             line = HOST.sub(" §host ", line)
         if SIGNS.search(line):
             line = VALUE.sub(_value, line)
-        if "<" in line or "\\" in line:
-            line = TAG.sub(" ", line)
-        yield terms(line)
+        yield line
+
+
+def line_terms(line: str) -> list[str]:
+    return terms(TAG.sub(" ", line) if "<" in line or "\\" in line else line)
+
+
+def windows(text: str):
+    """The lines of a text as lists of terms."""
+    for line in prepared(text):
+        if line is not None:
+            yield line_terms(line)
+
+
+def pieces(lines: list[str | None], cut_lines: bool):
+    """Sentences and elements' contents as (number of the first non-blank line, terms), across line ends or cut there too."""
+    at, first, held = -1, 0, []
+    for line in lines:
+        at += line is not None
+        parts = [""] if line is None else END.split(line)
+        for k, part in enumerate(parts):
+            if held and (k or line is None):
+                yield first, held
+                held = []
+            found = line_terms(part)
+            if not held:
+                first = at
+            held = held + found
+        if held and cut_lines:
+            yield first, held
+            held = []
+    if held:
+        yield first, held
 
 
 def _value(found: re.Match) -> str:
@@ -207,7 +245,8 @@ class Exemplars:
         others = frozenset().union(*(s for s, k in zip(self.sets, self.kinds, strict=True) if k not in ("filler", "explained")))
         #: Of each exemplar the terms of which a matching window has at least one, whatever the frequencies: the others hold too little of it.
         self.gates = [self.sets[i] - others if k == "filler" else self._gate(i) for i, k in enumerate(self.kinds)]
-        self.key = frozenset().union(*(g for g, k in zip(self.gates, self.kinds, strict=True) if k not in ("explained", "value")))
+        self.gated = [i for i, k in enumerate(self.kinds) if k not in ("explained", "value")]
+        self.key = frozenset().union(*(self.gates[i] for i in self.gated))
 
     def _gate(self, i: int) -> frozenset[str]:
         gate, rest = set(), self.total[i]
@@ -232,10 +271,69 @@ class Exemplars:
                 common[i] += w
         return common, whole
 
+    def page(self, text: str) -> list[tuple[int, str]]:
+        """(number of the non-blank line, kind) of the windows that are residue: lines, sentences, and spans of about an exemplar's length."""
+        lines = list(prepared(text))
+        by_line = [line_terms(x) for x in lines if x is not None]
+        found = {i: kind for i, w in enumerate(by_line) if w and (kind := self.label(w))}
+        held = set().union(*by_line)
+        near = [i for i in self.gated if not self.gates[i].isdisjoint(held) and self.within(i, held)]
+        if near:
+            for cut_lines in (True, False):
+                for first, w in pieces(lines, cut_lines):
+                    if first not in found and (kind := self.match(w)):
+                        found[first] = kind
+            stream, owner = [t for w in by_line for t in w], [i for i, w in enumerate(by_line) for _ in w]
+            for i in near:
+                for a, b in self.spans(i, stream):
+                    if found.keys().isdisjoint(range(owner[a], owner[b] + 1)):
+                        found[owner[a]] = self.kinds[i]
+        return sorted(found.items())
+
+    def within(self, i: int, held: set[str]) -> bool:
+        return self.kinds[i] == "filler" or sum(self.weight[t] for t in self.sets[i] & held) >= EXEMPLAR_COVERED * self.total[i]
+
+    def spans(self, i: int, stream: list[str]):
+        """First and last place of the runs of terms that match an exemplar, wherever they begin and end; not next to a counter-example's words."""
+        own, total, filler, at = self.sets[i], self.total[i], self.kinds[i] == "filler", -1
+        if not filler and len(own) < SPAN_TERMS:
+            return
+        for a, t in enumerate(stream):
+            if a <= at or t not in own or (a and filler and stream[a - 1] in own):
+                continue
+            inside, outside, seen, b = 0.0, 0.0, set(), a
+            for b in range(a, len(stream)):
+                w = stream[b]
+                if filler:
+                    if w not in own:
+                        b -= 1
+                        break
+                    seen.add(w)
+                    continue
+                if w in seen:
+                    continue
+                seen.add(w)
+                if w in own:
+                    inside += self.weight[w]
+                    if inside >= EXEMPLAR_COVERED * total and inside >= WINDOW_COVERED * (inside + outside):
+                        break
+                else:
+                    outside += self.weight.get(w, self.unknown)
+                    if outside > total * (1 / WINDOW_COVERED - 1):
+                        break
+            hit = b - a + 1 >= FILLER_WORDS and len(seen & self.gates[i]) >= 2 if filler else inside >= EXEMPLAR_COVERED * total and inside >= WINDOW_COVERED * (inside + outside)
+            if hit and not self._explained(stream[max(0, a - NEAR) : b + 1 + NEAR]):
+                yield a, b
+                at = b
+
     def label(self, window: list[str]) -> str | None:
         """The kind of residue that the window is, if any."""
         if "§value" in window and self._unfilled(window):
             return "value"
+        return self.match(window)
+
+    def match(self, window: list[str]) -> str | None:
+        """The kind of the exemplar that covers the window most, if none explains it."""
         known = set(window)
         if self.key.isdisjoint(known):
             return None
@@ -249,7 +347,7 @@ class Exemplars:
                 against = max(against, held if self.kinds[i] == "explained" else 0.0)
                 continue
             else:
-                hit = len(window) <= LONGEST and covered >= WINDOW_COVERED and held >= EXEMPLAR_COVERED
+                hit = covered >= WINDOW_COVERED and held >= EXEMPLAR_COVERED
             if hit and covered > best:
                 best, kind = covered, self.kinds[i]
         return kind if best > against else None
@@ -258,11 +356,14 @@ class Exemplars:
         """Whether a value in the window stands apart from every counter-example."""
         for at, t in enumerate(window):
             if t == "§value":
-                common, _ = self.containment(set(window[max(0, at - NEAR) : at] + window[at + 1 : at + 1 + NEAR]))
-                if not any(self.kinds[i] == "explained" and common[i] / self.total[i] >= EXPLAINED for i in common):
+                if not self._explained(window[max(0, at - NEAR) : at] + window[at + 1 : at + 1 + NEAR]):
                     return True
         return False
 
+    def _explained(self, window: list[str]) -> bool:
+        common, _ = self.containment(set(window))
+        return any(self.kinds[i] == "explained" and common[i] / self.total[i] >= EXPLAINED for i in common)
+
 
 def vocabulary() -> frozenset[str]:
     return frozenset(t for _, text in RESIDUE + COUNTER for t in terms(text.replace("HOST", "§host")))
@@ -291,12 +392,10 @@ def _label(frequencies: dict[str, int], pages: int):
         for batch in batches:
             out = {"page_id": [], "line_window": [], "kind": []}
             for page, text in zip(batch.column("page_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for i, w in enumerate(windows(text or "")):
-                    kind = known.label(w) if w else None
-                    if kind:
-                        out["page_id"].append(page)
-                        out["line_window"].append(i)
-                        out["kind"].append(kind)
+                for i, kind in known.page(text or ""):
+                    out["page_id"].append(page)
+                    out["line_window"].append(i)
+                    out["kind"].append(kind)
             yield pa.RecordBatch.from_arrays([pa.array(out["page_id"], pa.int64()), pa.array(out["line_window"], pa.int32()), pa.array(out["kind"], pa.string())], names=list(out))
 
     return run

@@ -184,6 +184,17 @@ def test_residue_that_a_third_of_the_pages_are(spark, line, n):
     assert sorted(r["page_id"] for r in residue.residue_pages(spark.createDataFrame(rows, PAGE)).collect()) == list(range(0, n, 3))
 
 
+@pytest.mark.parametrize(
+    "passage",
+    ["<div><h1>Page not found</h1><p>{}</p></div>", "{}. Coming soon. {}", "{}. Loading,\nplease wait. {}", "{} you need to enable JavaScript to run this app and {}", "{} You need to enable\nJavaScript to run\nthis app. {}", "{} and lorem ipsum dolor sit amet consectetur then {}", "Access denied. " * 30],
+)
+def test_residue_within_a_passage(spark, passage):
+    rng = random.Random(5)
+    text = passage.replace("{}", "the facet sorts every token of one cluster before the next restart and keeps it there", 2)
+    rows = [(i, prose(rng, 40), None, T) for i in range(40)] + [(100, text, None, T), (101, "A 503 Service Unavailable response means that the facet\nis restarting; reviewers retry it.", None, T)]
+    assert [r["page_id"] for r in residue.residue_pages(spark.createDataFrame(rows, PAGE)).collect()] == [100]
+
+
 # --- repeated lines
 
 
