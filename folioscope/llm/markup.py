@@ -168,11 +168,11 @@ class Page:
                     self.nodes[-1].path = f"code/pre {fence[2]}"
                 i, blank = end + 1, False
                 continue
-            low = line[:60].lower()
-            if "<" in low and (opened := BLOCK_CODE.search(line)):
-                i = self._element_code(lines, i, n, opened)
+            if "<" in line and (opened := self._opened(lines, i, n)):
+                i = self._element_code(lines, i, n, opened, blank)
                 blank = False
                 continue
+            low = line[:60].lower()
             if low.startswith("\\begin{") and (verbatim := VERBATIM.match(line)):
                 stop = f"\\end{{{verbatim[1]}}}"
                 end = next((k for k in range(i + 1, n) if stop in lines[k]), n)
@@ -190,24 +190,48 @@ class Page:
             i = self._block(lines, i, n, blank)
             blank = False
 
-    def _element_code(self, lines: list[str], i: int, n: int, opened: re.Match) -> int:
-        """A code element over one or more lines; its tags are notation, its content is not."""
+    def _opened(self, lines: list[str], i: int, n: int) -> re.Match | None:
+        """The first code element that a line opens outside of inline code; one without an end only where it begins the line."""
+        line = lines[i]
+        if not BLOCK_CODE.search(line):
+            return None
+        is_html = bool(self.tags) or line.lstrip()[:1] == "<"
+        if not is_html and line.startswith(("    ", "\t")):
+            return None
+        cover = lambda m: "." * len(m[0])
+        shown = TICKS.sub(cover, line) if "`" in line else line
+        shown = HTML_CODE.sub(lambda m: m[0] if is_html and m[2].lower() == "nowiki" else cover(m), shown)
+        for found in BLOCK_CODE.finditer(shown):
+            if found[0].endswith("/>"):
+                continue
+            stop = f"</{found[1].lower()}"
+            if stop in line[found.end() :].lower() or any(stop in lines[k].lower() for k in range(i + 1, n)):
+                return found
+            if found[1].lower() != "source" and not line[: found.start()].strip():
+                return found
+        return None
+
+    def _element_code(self, lines: list[str], i: int, n: int, opened: re.Match, blank: bool) -> int:
+        """A code element over one or more lines; its tags are notation, its content is not. What stands around it on its lines is read as lines."""
         name, line = opened[1].lower(), lines[i]
         self._mark("html", "block", name)
-        before = line[: opened.start()]
-        if before.strip():
-            self._marks(before, "block")
-            if name in ("script", "style") and self.clean:
-                before = ""
+        before = line[: opened.start()].rstrip()
+        if before:
+            self._block([before], 0, 1, blank)
         stop, body, k = f"</{name}", [line[opened.end() :]], i
         while stop not in body[-1].lower() and k + 1 < n:
             k += 1
             body.append(lines[k])
+        after = ""
         at = body[-1].lower().find(stop)
         if at >= 0:
+            after = body[-1][at:].partition(">")[2].strip()
             body[-1] = body[-1][:at]
         if name not in ("script", "style"):
             self._add("code/pre", "code", re.sub(r"</?code[^>]*>", "", "\n".join(body), flags=re.I).strip("\n"))
+        if after:
+            lines[k] = after
+            return k
         return k + 1
 
     def _block(self, lines: list[str], i: int, n: int, blank: bool) -> int:

@@ -73,6 +73,18 @@ def test_clean_text_of_other_notations():
     assert "## Head" in got and "Some bold words—in" in got and "- one of the items" in got
 
 
+def test_text_around_code_elements_on_a_line():
+    first, last = "The first paragraph has quite a lot of words, so that it is content.", "The last paragraph has quite a lot of words too, and it is content."
+    got = markup.Page(f"<html><body><h1>Head</h1><p>{first}</p><script>var x = 1;</script><pre>a = b\nc = d</pre><p>{last}</p></body></html>").render()
+    assert got.index("# Head") < got.index(first) < got.index("```\na = b\nc = d\n```") < got.index(last) and "var x" not in got
+    far = f"{first} <pre>\n# no heading\n</pre> {last}"
+    assert markup.Page(far).render().split("\n")[0] == first and last in markup.Page(far).render() and "```\n# no heading\n```" in markup.Page(far).render()
+    assert markup.Page(far, clean=False).notations() == ["html"]
+    assert markup.Page("<pre>x</pre> and **strong** words", clean=False).notations() == ["html", "markdown"]
+    for line in (f"Use `<script>` here. {first}", f"<p>A <source src='x'> is void. {first}</p>"):
+        assert last in markup.Page(f"{line}\n\n{last}").render()
+
+
 # --- boilerplate
 
 
