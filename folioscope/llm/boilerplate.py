@@ -39,7 +39,7 @@ LEAST_HOSTS = 2
 WINNING, WINNING_LIST = 0.82, 0.5
 #: Added to the number of votes, so that a few pages need a clearer vote than many.
 DOUBT = 0.5
-#: Words from which a line counts as running text, and above which a line without a named element has no path.
+#: Words from which a line counts as running text, and above which running text has no path, and other lines are no pager, breadcrumb or title.
 RUNNING, MOST_WORDS = 10, 24
 #: Headings and lines of running text that a page needs to vote.
 LEAST_TEXT = 3
@@ -146,7 +146,7 @@ class Lines:
                 path = element(line)
                 if path and not closes(line, path):
                     # an element over several lines, up to its end; without one it is the line alone
-                    end = next((k for k in range(i, min(n, i + 200)) if closes(lines[k], path)), i)
+                    end = next((k for k in range(i, n) if closes(lines[k], path)), i)
                     for k in range(i, end + 1):
                         if lines[k]:
                             self._put(k, path)
@@ -180,15 +180,16 @@ class Lines:
 
     def _single(self, lines: list[str], i: int, n: int) -> None:
         line = lines[i]
-        if len(line) > 400:
-            self.total += 1
-            return
         key = line_key(line)
         words = key.count(" ") + 1 if key else 0
         if not words:
             return
         bare = TAG.sub("", line).strip() if "<" in line else line
-        if words <= MOST_WORDS:
+        running = words >= RUNNING and bool(ENDING.search(bare) or (i + 1 < n and lines[i + 1][:1].islower()))
+        if words > MOST_WORDS:
+            if not running:
+                self._put(i, f"line:{key}")
+        else:
             parts = PARTS.split(bare)
             if PAGER.match(bare) or ARROWS.search(bare):
                 self._put(i, "pager")
@@ -198,7 +199,7 @@ class Lines:
                 self._put(i, f"line:{key}")
                 if words <= 6:
                     self._put(i, f"list:{key}", True)  # a title whose list is empty here
-        if words >= RUNNING and (ENDING.search(bare) or (i + 1 < n and lines[i + 1][:1].islower())):
+        if running:
             self.total += 1
 
     @staticmethod

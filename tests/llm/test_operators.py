@@ -114,6 +114,14 @@ def test_surroundings(spark):
     assert clean[1].startswith("# Title") and "Share this page" in clean[1] and "Back to top" not in clean[1]
 
 
+def test_long_menus():
+    menu = " ".join(f"[Guide to topic {chr(97 + i)}](/guides/topic-{chr(97 + i)})" for i in range(26))
+    assert len(menu) > 400 and boilerplate.Lines(f"{menu}\n\nText of the page.").no == [1, 3, 3]
+    nav = ["<nav class='all'>"] + [f"<a href='/{i}'>Topic {i}</a>" for i in range(300)] + ["</nav>"]
+    page = boilerplate.Lines("\n".join(nav))
+    assert page.no == list(range(1, 303)) and set(page.path) == {"nav.all"}
+
+
 # --- residue
 
 
