@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,7 @@ def local_session(cores: int | str = "*", memory: str = "12g", partitions: int =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -44,6 +48,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local["):
             raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="folioscope-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return folder
@@ -55,6 +60,31 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As `durable`, as a compressed table of which a reader takes only the columns it needs; for wide or large rows.
+
+    `durable` keeps the partitioning of its rows, this doesn't.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{_own(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _own(spark: SparkSession) -> str:
+    return f"tables-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that `written` left in the shared folder for this application, once their results are no longer read.
+
+    The files of `durable` go with their DataFrame if the cluster sets `spark.cleaner.referenceTracking.cleanCheckpoints`.
+    """
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{_own(spark)}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_checked(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if it has at most `most` rows, else as it is, to be joined by shuffle.
 
