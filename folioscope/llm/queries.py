@@ -133,6 +133,15 @@ runs_of AS (SELECT doc_id, n, s AS at, array_to_string(list_slice(w, s, s + n -
             FROM dw, (SELECT DISTINCT n FROM win), LATERAL (SELECT unnest(generate_series(1, len(w) - n + 1)) AS s) WHERE len(w) >= n),
 met AS (SELECT d.doc_id, i.item_id, i.at AS item_at, d.at AS doc_at FROM win i JOIN runs_of d USING (n, run))"""
 
+NEARBY = """
+it AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM eval_items),
+dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents),
+dt AS (SELECT doc_id, generate_subscripts(w, 1) AS pos, unnest(w) AS term FROM dw),
+df AS (SELECT term, count(DISTINCT doc_id) AS df FROM dt GROUP BY term),
+chosen AS (SELECT item_id, term, row_number() OVER (PARTITION BY item_id ORDER BY df, term) AS slot FROM it JOIN df USING (term) QUALIFY slot <= 3),
+seen AS (SELECT doc_id, item_id, pos, max(CASE WHEN slot = 1 THEN pos END) OVER so_far AS p1, max(CASE WHEN slot = 2 THEN pos END) OVER so_far AS p2, max(CASE WHEN slot = 3 THEN pos END) OVER so_far AS p3
+         FROM dt JOIN chosen USING (term) WINDOW so_far AS (PARTITION BY doc_id, item_id ORDER BY pos ROWS UNBOUNDED PRECEDING))"""
+
 REPEATED = """
 dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents),
 rn AS (SELECT doc_id, s AS pos, array_to_string(list_slice(w, s, s + 7), ' ') AS run FROM dw, LATERAL (SELECT unnest(generate_series(1, len(w) - 7)) AS s) WHERE len(w) >= 8),
@@ -146,6 +155,7 @@ SQL = {
     "p8_found": f"WITH {ITEM_WINDOWS} SELECT DISTINCT doc_id, item_id FROM met",
     "p8_report": f"""WITH {ITEM_WINDOWS} SELECT doc_id, item_id, count(DISTINCT item_at) AS matched, any_value(nw) AS n_windows, count(DISTINCT item_at) / any_value(nw) AS coverage, CAST(min(doc_at) - 1 AS INT) AS first_word
         FROM met JOIN (SELECT item_id, count(*) AS nw FROM win GROUP BY item_id) USING (item_id) GROUP BY doc_id, item_id""",
+    "p8_proximity": f"""WITH {NEARBY} SELECT DISTINCT doc_id, item_id FROM seen WHERE p1 IS NOT NULL AND p2 IS NOT NULL AND p3 IS NOT NULL AND pos - least(p1, p2, p3) < 26""",
     "p9_found": f"WITH {REPEATED} SELECT doc_id FROM share WHERE n_words >= 40 AND n_repeated * 100 >= n_words * 30",
     "p9_shares": f"WITH {REPEATED} SELECT doc_id, n_words, n_repeated, share FROM share",
 }

@@ -308,7 +308,9 @@ def test_retrieval_prefers_like_documents():
 # --- leaks
 
 
-def test_leaks_against_brute_force(spark):
+@pytest.mark.parametrize("most", [500_000, 3])
+def test_leaks_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(leaks, "MOST_TERMS", most)
     rng = random.Random(8)
     items = [(i, prose(rng, rng.choice([3, 9, 13, 30, 60]))) for i in range(25)]
     documents = []
@@ -332,6 +334,23 @@ def test_leaks_against_brute_force(spark):
     assert {tuple(r) for r in got.collect()} == expected
 
 
+def test_proximity_against_brute_force(spark):
+    rng = random.Random(18)
+    items = [(i, " ".join(rng.sample(NAMES, rng.choice([2, 4, 6])))) for i in range(10)]
+    documents = [(i, " ".join(rng.choice([*NAMES, *["of"] * 60]) for _ in range(rng.randrange(0, 150)))) for i in range(40)]
+    df = {t: sum(t in words(d) for _, d in documents) for t in NAMES}
+    expected = set()
+    for j, t in items:
+        rarest = sorted((x for x in set(words(t)) if df[x]), key=lambda x: (df[x], x))[:3]
+        for i, d in documents:
+            w = words(d)
+            if len(rarest) == 3 and any(set(rarest) <= set(w[k : k + leaks.NEAR]) for k in range(len(w))):
+                expected.add((i, j))
+    assert expected
+    got = leaks.proximity(spark.createDataFrame(documents, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {tuple(r) for r in got.collect()} == expected
+
+
 # --- repetition
 
 
