@@ -387,6 +387,30 @@ def test_outliers_survive_contamination(spark):
     assert {r["doc_id"] for r in repetition.repetitive(df).collect()} == {i for i in range(600) if i % 3 == 0}
 
 
+def test_the_gate_takes_part(spark):
+    """Where three quarters of all documents repeat a third to a half of their words, these are the usual ones: over the share, but no outliers."""
+    rng = random.Random(20)
+    rows = []
+    for i in range(400):
+        base = prose(rng, 60).split()
+        again = rng.randrange(30, 60) if i % 4 else 0
+        rows.append((i, " ".join(base + base[:again]), "en", "a"))
+    got = repetition.outliers(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    over = {r["doc_id"] for r in got if r["share"] >= 0.3}
+    assert len(over) > 250 and len({r["doc_id"] for r in got if r["is_outlier"]} & over) < len(over) / 10
+
+
+def test_half_of_a_group_by_bins():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(1000, repetition.P))
+    d = (x * x).sum(axis=1)
+    bins = np.floor(np.log2(d) * repetition.FINE).astype(int)
+    rows = [(b, (bins == b).sum(), x[bins == b].sum(axis=0), np.array([(x[bins == b, i] * x[bins == b, j]).sum() for i, j in repetition.PAIRS])) for b in set(bins)]
+    mean, cov, n = repetition.half(repetition.pd.DataFrame(rows, columns=["bin", "n", "x_sum", "x_square"]))
+    near = x[np.argsort(d)[:500]]
+    assert n == 500 and np.allclose(mean, near.mean(axis=0), atol=0.02) and np.allclose(cov, np.cov(near.T, bias=True), atol=0.02)
+
+
 def test_chi_square():
     assert abs(repetition.chi_square(0.95, 4) - 9.4877) < 1e-3
     assert abs(repetition.chi_square(0.999, 4) - 18.467) < 1e-3
