@@ -28,11 +28,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.core.runtime import broadcast_checked, current, durable
-from folioscope.llm.text import WORD, identified, latest, site_column
+from folioscope.llm.text import WORD, identified, latest, site_column, without_lines
 
 LEAST_PAGES, LEAST_PERCENT = 4, 1
 LEAST_HOSTS = 2
@@ -54,7 +54,7 @@ HEADING_MARK = re.compile(r"^(?:#{1,6}\s+|=+\s*|\\(?:sub)*section\*?\{)|[#=}]+\s
 #: Lines that frame the text rather than being part of it, or that are notation of the text itself.
 NEVER = re.compile(r"^(?:\\|\{\{|\}\}|\{\||\|[-}]?|!|\[\[(?:Category|Kategorie|File|Datei)\b|<!|</?(?:html|head|body|main|article|title|style|script|meta|link|table|thead|tbody|tr|t[dh])\b|%|\$\$|:?-{3,}|={3,})", re.I)
 ITEM = re.compile(r"""^(?:[•·▪‣]\s*\S|[-*+]\s+\[[^\]]*\]\([^)\s]*\)\s*$|(?:<li[^>]*>\s*)?<a\s[^>]*>.*</a>\s*(?:</li>)?\s*$|\[\[[^\]]*\]\]\s*$|\*\s*\[\[[^\]]*\]\]\s*$)""", re.I)
-ENTRY = re.compile(r"^[A-ZÀ-Þ][^.!?:;|<>{}\[\]\\=*#]{2,78}$")
+ENTRY = re.compile(r"^[A-ZÀ-Þ][^.!?:;|<>{}\[\]\\=*#]{2,}$")
 PAGER = re.compile(r"^\W*(?:prev(?:ious)?|zurück|précédent|anterior)(?:\s+(?:article|page|topic)\b|\s*[:›»→])|^\W*(?:next|weiter|suivant|siguiente)(?:\s+(?:article|page|topic)\b|\s*[:›»→])", re.I)
 ARROWS = re.compile(r"^[←→‹›«»⟵⟶]\s*\S|\S\s*[→»⟶]$")
 PARTS = re.compile(r"\s+[|/›>»·•]\s+|\s*[›»]\s*")
@@ -167,7 +167,7 @@ class Lines:
 
     def _list(self, lines: list[str], i: int, n: int, headings: set[str]) -> int:
         line = lines[i]
-        if len(line) > 80 or i + 1 >= n or not lines[i + 1] or line[-1] in ".,;:" or ITEM.match(line) or PAGER.match(line):
+        if i + 1 >= n or not lines[i + 1] or line[-1] in ".,;:" or ITEM.match(line) or PAGER.match(line):
             return i + 1
         key = line_key(line)
         end = self._list_end(lines, i + 1, n) if key and key.count(" ") < 6 else i + 1
@@ -275,7 +275,7 @@ def winners(voted: DataFrame) -> DataFrame:
 
 def adopted(paths: DataFrame, won: DataFrame) -> DataFrame:
     """The pages without url as pages of the host with which they share most of the paths that no other host has."""
-    alone = won.withColumn("hosts", F.count("*").over(Window.partitionBy("path"))).filter("hosts = 1").select("path", "site")
+    alone = won.groupBy("path").agg(F.count("*").alias("hosts"), F.min("site").alias("site")).filter("hosts = 1").select("path", "site")
     lost = paths.filter(F.col("site").isNull())
     shared = lost.select("page_id", F.inline("lines")).select("page_id", "path").distinct().join(broadcast_checked(alone), "path").groupBy("page_id", "site").count()
     best = shared.groupBy("page_id").agg(F.max(F.struct("count", "site")).alias("b")).select("page_id", F.col("b.site").alias("site"))
@@ -297,6 +297,5 @@ def main_content(pages: DataFrame) -> DataFrame:
     drop = surroundings(pages).groupBy("page_id").agg(F.collect_set("line_no").alias("drop"))
     texts = current(identified(pages, "page_id").select("page_id", "loaded_at", F.coalesce("text", F.lit("")).alias("text")), "page_id", "loaded_at")
     met = texts.join(drop, "page_id", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<int>")))
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("drop", (i + 1).cast("int")))
-    clean = F.trim(F.regexp_replace(F.array_join(kept, "\n"), r"\n(?:[ \t\r]*\n){2,}", "\n\n"))
-    return met.select("page_id", F.size("drop").alias("n_dropped"), clean.alias("text"))
+    clean = F.trim(F.regexp_replace("text", r"\n(?:[ \t\r]*\n){2,}", "\n\n"))
+    return without_lines(met, "text", "drop").select("page_id", F.size("drop").alias("n_dropped"), clean.alias("text"))

@@ -114,7 +114,7 @@ pg AS (SELECT page_id, coalesce(text, '') AS text, regexp_replace(regexp_extract
        FROM pages WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY loaded_at DESC) = 1),
 sites AS (SELECT site, count(*) AS site_pages FROM pg WHERE site <> '' GROUP BY site),
 ln AS (SELECT page_id, site, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM pg WHERE site <> ''),
-keyed AS (SELECT page_id, site, line_no, trim(regexp_replace(regexp_replace(regexp_replace(lower(line), '<[^<>]*>', '', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g'), '\\p{Nd}+', '0', 'g')) AS key FROM ln),
+keyed AS (SELECT page_id, site, line_no, line, trim(regexp_replace(regexp_replace(regexp_replace(lower(line), '<[^<>]*>', '', 'g'), '[^\\p{L}\\p{N}]+', ' ', 'g'), '\\p{Nd}+', '0', 'g')) AS key FROM ln),
 hot AS (SELECT site, key FROM keyed JOIN sites USING (site) WHERE len(string_split(key, ' ')) >= 4
         GROUP BY site, key, site_pages HAVING count(DISTINCT page_id) >= 5 AND count(DISTINCT page_id) * 100 >= site_pages * 20)"""
 
@@ -151,7 +151,15 @@ share AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_
 
 SQL = {
     "p5_found": f"WITH {SIMILAR} SELECT a AS page_id_a, b AS page_id_b FROM common JOIN n na ON na.page_id = a JOIN n nb ON nb.page_id = b WHERE c * 100 >= (na.n + nb.n - c) * 70",
+    "p5_groups": f"""WITH RECURSIVE {SIMILAR}, cls AS (SELECT page_id, min(page_id) OVER (PARTITION BY array_to_string(w, ' ')) AS rep FROM pw WHERE len(w) >= 100),
+        link AS (SELECT a, b FROM common JOIN n na ON na.page_id = a JOIN n nb ON nb.page_id = b WHERE c * 100 >= (na.n + nb.n - c) * 70 AND a IN (SELECT rep FROM cls) AND b IN (SELECT rep FROM cls)),
+        ends AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+        reach(id, root) AS (SELECT DISTINCT rep, rep FROM cls UNION SELECT e.b, r.root FROM reach r JOIN ends e ON e.a = r.id)
+        SELECT page_id, cls.rep AS class_id, g.root AS group_id, coalesce(l.n, 0) AS n_links FROM cls JOIN (SELECT id, min(root) AS root FROM reach GROUP BY id) g ON g.id = cls.rep
+        LEFT JOIN (SELECT a, count(*) AS n FROM ends GROUP BY a) l ON l.a = cls.rep""",
     "p6_found": f"WITH {LINES} SELECT page_id, CAST(line_no AS INT) AS line_no FROM keyed JOIN hot USING (site, key)",
+    "p6_rebuilt": f"""WITH {LINES}, marked AS (SELECT k.page_id, k.line_no, k.line, h.key IS NOT NULL AS hit FROM keyed k LEFT JOIN hot h USING (site, key))
+        SELECT page_id, CAST(count(*) FILTER (WHERE hit) AS INT) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT hit), '') AS text FROM marked GROUP BY page_id""",
     "p8_found": f"WITH {ITEM_WINDOWS} SELECT DISTINCT doc_id, item_id FROM met",
     "p8_report": f"""WITH {ITEM_WINDOWS} SELECT doc_id, item_id, count(DISTINCT item_at) AS matched, any_value(nw) AS n_windows, count(DISTINCT item_at) / any_value(nw) AS coverage, CAST(min(doc_at) - 1 AS INT) AS first_word
         FROM met JOIN (SELECT item_id, count(*) AS nw FROM win GROUP BY item_id) USING (item_id) GROUP BY doc_id, item_id""",

@@ -24,8 +24,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.core.runtime import broadcast_checked, current, durable
-from folioscope.llm.text import identified, latest, site_column
+from folioscope.core.runtime import broadcast_checked, current, durable, written
+from folioscope.llm.text import identified, latest, site_column, without_lines
 
 LEAST_WORDS, LEAST_PAGES, LEAST_SHARE_PERCENT = 4, 5, 20
 
@@ -76,20 +76,6 @@ def batches(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dated.filter(older).drop("last_day"), dated.filter(~F.coalesce(older, F.lit(False))).drop("last_day")
 
 
-def repeated_keys(lines: DataFrame) -> DataFrame:
-    """The keys over the threshold after the last delta, by merging it into the counts of all earlier pages."""
-    before, delta = batches(lines)
-    (old_keys, old_sites), (new_keys, new_sites) = count_delta(before), count_delta(delta)
-    return crossings(merge(old_keys, new_keys, ["site", "key"], "n_pages"), merge(old_sites, new_sites, ["site"], "site_pages"))
-
-
-def repeated_lines(pages: DataFrame) -> DataFrame:
-    """`page_id, line_no` of all lines whose key is repeated on its site."""
-    lines = durable(page_lines(pages))
-    keys = durable(repeated_keys(lines).filter("now").select("key"))
-    return lines.select("page_id", F.inline("lines")).join(broadcast_checked(keys), "key", "left_semi").select("page_id", "line_no")
-
-
 class State(NamedTuple):
     """What a run leaves for the next: `page_id, loaded_at, site, lines`; `site, key, n_pages`; `site, site_pages`."""
 
@@ -108,43 +94,61 @@ def load(spark: SparkSession, folder: str) -> State:
     return State(*(spark.read.parquet(f"{folder}/{name}") for name in State._fields))
 
 
-def advance(state: State | None, partition: DataFrame) -> tuple[State, DataFrame, DataFrame]:
-    """The state after a partition of pages, the keys that were or are repeated (`site, key, was, now`), and the `page_id` of the pages
-    that the partition adds or replaces. A delivery older than the stored one changes nothing."""
-    lines = durable(page_lines(partition))
+def advance(state: State | None, lines: DataFrame) -> tuple[State, DataFrame, DataFrame]:
+    """The state after a partition of pages (their `page_lines`), the keys that were or are repeated (`site, key, was, now`), and the
+    `page_id` of the pages that the partition adds or replaces. A delivery older than the stored one changes nothing.
+
+    Of the state only the counts are read, and the lines of pages that the partition delivers anew.
+    """
     if state is None:
         old, fresh, after = State(lines.limit(0), *count_delta(lines.limit(0))), lines, lines
         new_keys, new_sites = count_delta(lines)
     else:
         old = state
-        stored = old.lines.select("page_id", F.col("loaded_at").alias("_at"), F.lit(True).alias("_stored"))
+        met = broadcast_checked(lines.select("page_id"))
+        again = durable(old.lines.join(met, "page_id", "left_semi"))
+        stored = broadcast_checked(again.select("page_id", F.col("loaded_at").alias("_at"), F.lit(True).alias("_stored")))
         newer = F.col("_stored").isNull() | F.col("_at").isNull() | (F.col("loaded_at") >= F.col("_at"))
         fresh = durable(lines.join(stored, "page_id", "left").filter(newer).select(lines.columns))
-        replaced = durable(old.lines.join(fresh.select("page_id"), "page_id", "left_semi"))
-        after = durable(old.lines.join(fresh.select("page_id"), "page_id", "left_anti").unionByName(fresh))
+        ids = broadcast_checked(fresh.select("page_id"))
+        replaced, after = again.join(ids, "page_id", "left_semi"), old.lines.join(ids, "page_id", "left_anti").unionByName(fresh)
         (add_keys, add_sites), (less_keys, less_sites) = count_delta(fresh), count_delta(replaced)
         new_keys = add_keys.unionByName(less_keys.withColumn("n_pages", -F.col("n_pages")))
         new_sites = add_sites.unionByName(less_sites.withColumn("site_pages", -F.col("site_pages")))
-    keys = durable(merge(old.keys, new_keys, ["site", "key"], "n_pages"))
+    keys = written(merge(old.keys, new_keys, ["site", "key"], "n_pages"))
     sites = durable(merge(old.sites, new_sites, ["site"], "site_pages"))
     now = State(after, keys.filter("n_pages > 0").select("site", "key", "n_pages"), sites.filter("site_pages > 0").select("site", "site_pages"))
     return now, crossings(keys, sites), fresh.select("page_id")
 
 
+def repeated_lines(pages: DataFrame) -> DataFrame:
+    """`page_id, line_no` of all lines whose key is repeated on its site.
+
+    Two runs of the operator: one over the pages of all earlier days of loading, which leaves its table of line counts, and one
+    over the last day, which merges its own counts into that table.
+    """
+    lines = durable(page_lines(pages))
+    earlier, last = batches(lines)
+    state, _, _ = advance(None, earlier)
+    state, keys, _ = advance(state, last)
+    now = durable(keys.filter("now").select("key"))
+    return state.lines.select("page_id", F.inline("lines")).join(broadcast_checked(now), "key", "left_semi").select("page_id", "line_no")
+
+
 def rebuild(pages: DataFrame, partition: DataFrame, state: State | None = None) -> tuple[DataFrame, State]:
     """`page_id, n_removed, text` of the pages that a partition concerns: its own, and others that hold a key which crossed; and the
     state to save. `pages` has the texts of all pages, the partition's included.
 
     The text comes without its repeated lines. Pages outside came out of an earlier run, and their lines' keys kept their side of the threshold.
     """
-    now, keys, fresh = advance(state, partition)
+    now, keys, fresh = advance(state, durable(page_lines(partition)))
     met = now.lines.select("page_id", F.inline("lines")).join(broadcast_checked(durable(keys.select("key", "was", "now"))), "key")
     per_page = met.groupBy("page_id").agg(F.max((F.col("was") != F.col("now")).cast("int")).alias("crossed"), F.array_sort(F.collect_list(F.when(F.col("now"), F.col("line_no")))).alias("drop"))
     todo = per_page.join(fresh.withColumn("fresh", F.lit(1)), "page_id", "full").filter("crossed = 1 OR fresh = 1").select("page_id", F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
     todo = durable(todo)
     texts = identified(pages, "page_id").filter(site_column(F.col("url")).isNotNull()).select("page_id", "loaded_at", F.coalesce("text", F.lit("")).alias("text")).join(todo, "page_id", "left_semi")
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("drop", (i + 1).cast("int")))
-    return current(texts, "page_id", "loaded_at").join(todo, "page_id").select("page_id", F.size("drop").alias("n_removed"), F.array_join(kept, "\n").alias("text")), now
+    each = current(texts, "page_id", "loaded_at").join(todo, "page_id")
+    return without_lines(each, "text", "drop").select("page_id", F.size("drop").alias("n_removed"), "text"), now
 
 
 def rebuilt_pages(pages: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions.masking import once
+
 #: A word is a maximal run of letters or digits of any script; `_` is neither.
 WORD = re.compile(r"[^\W_]+")
 JAVA_WORD = r"[\p{L}\p{N}]+"
@@ -91,3 +93,13 @@ def latest(df: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:
     """One row per `key`: of several deliveries the one with the greatest `order` (then values). For narrow rows."""
     kept = [order, *[v for v in values if v != order]]
     return df.groupBy(key).agg(F.max(F.struct(*kept)).alias("_r")).select(key, *[f"_r.{v}" for v in values])
+
+
+def without_lines(df: DataFrame, text: str, drop: str) -> DataFrame:
+    """`df` with the lines of column `text` joined again without those whose numbers (from 1) are in the array `drop`.
+
+    The numbers kept come from one set difference, so the work is that of lines plus dropped lines, not of their product.
+    """
+    lines = F.split(text, "\n", -1)
+    kept = once(df, _lines=lines, _at=F.array_except(F.sequence(F.lit(1), F.size(lines)), drop))
+    return kept.withColumn(text, F.array_join(F.transform("_at", lambda i: F.get("_lines", i - 1)), "\n")).drop("_lines", "_at")
