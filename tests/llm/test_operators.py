@@ -300,11 +300,28 @@ def test_packing_holds_every_token_once(spark):
 
 
 def test_retrieval_prefers_like_documents():
-    terms = packing.packed_terms(["red apple fruit sweet", "blue ocean water deep", "red apple pie sweet", "ocean deep water fish"])
-    scores = packing.Index(terms).scores(0)
+    terms, times, ends = packing.counted_terms(["red apple fruit sweet", "blue ocean water deep", "red apple pie sweet", "ocean deep water fish"])
+    scores = packing.Index(terms, times, np.diff(ends)).scores(0)
     assert scores[2] > scores[1] and scores[2] > scores[3]
 
 
+def test_counts_are_exact():
+    terms, times, ends = packing.counted_terms(["a " * 500 + "b", None, "", "b c"])
+    assert ends.tolist() == [0, 2, 2, 2, 4] and sorted(times[:2]) == [1, 500]
+
+
+def test_the_order_lays_a_topic_side_by_side(spark):
+    """Documents of 40 topics, in no order of their own: nearly all of a topic fall into one shard or two neighbouring ones."""
+    rng = random.Random(11)
+    topics = [[f"topic{chr(97 + t % 26)}{chr(97 + t // 26)}{chr(97 + k)}" for k in range(6)] for t in range(100)]
+    rows = [(i, " ".join(rng.choice(topics[i % 100]) if rng.random() < 0.3 else rng.choice(NAMES) for _ in range(60))) for i in range(2000)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    order = [r["doc_id"] for r in packing.in_order(packing.written(packing.measured(documents))).select("part", "doc_id").toPandas().sort_values("part", kind="stable").to_dict("records")]
+    assert sorted(order) == list(range(2000))
+    near = sum(a % 100 == b % 100 for a, b in zip(order, order[1:], strict=False))
+    assert near > 1500
+
+
 # --- leaks
 
 
