@@ -8,13 +8,15 @@ changes from band to band, the union of the stars links the pages of a group in
 
 Pages with the same words in the same order form a class and take part once, by their least id. Edges are checked on the exact sets.
 Pairs of two members of one star are candidates too: if both lie so near to the centre that the triangle inequality (1 - Jaccard is a
-metric) allows the threshold. What the inequality already proves isn't read again.
+metric) allows the threshold. What the inequality already proves isn't read again. For groups, such pairs are looked at only where
+they could join two groups that the edges leave apart.
 
 Defined cases: rows without page_id, pages with fewer than `LEAST_WORDS` words, and null texts, take no part; of several deliveries of a page the one
 with the greatest `loaded_at` counts; ties between centres go to the least id; an empty table gives no rows.
 
 Scale: signatures are a few hundred bytes a page; stars bound the edges by bands x pages, whatever the size of a bucket; a hot bucket's
-centre is found by a partial aggregate and met by a join, which splits it. Sets of runs are built only for pages with an edge.
+centre is found by a partial aggregate and met by a join, which splits it. Sets of runs are built only for pages with an edge. `pairs`
+has as many rows as there are pairs, as asked; its joins of hot stars and classes are cut into blocks of `BLOCK` rows.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 #: An edge to a centre is kept for the search of further pairs from this similarity on: two pages at 0.7 to each other.
 HOP_PERCENT = 40
+#: Rows of one join key that one task takes.
+BLOCK = 1000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -146,51 +150,93 @@ def similarities(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b", "common", (F.col("sum") - F.col("common")).alias("together"))
 
 
+def met_in_blocks(rows: DataFrame, key: str, x: list[str], y: list[str], block: int = BLOCK) -> DataFrame:
+    """`rows` joined with themselves on `key`, with the columns `x` of one side and `y` (new names, in the same order) of the other.
+
+    A key of over `block` rows is cut into blocks by a hash of its first column, and each pair of blocks is a join key of its own, so that
+    no task gets a whole hot key.
+    """
+    hot = durable(rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > block))
+    parts = F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int")
+    cut = rows.join(broadcast_checked(hot), key, "left").withColumn("_parts", parts).withColumn("_own", F.pmod(F.xxhash64(F.col(x[0]), F.lit(1)), F.col("_parts")))
+    every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    left = cut.select(key, *x, F.col("_own").alias("_i"), every.alias("_j"))
+    right = cut.select(key, *[F.col(c).alias(d) for c, d in zip(x, y, strict=True)], every.alias("_i"), F.col("_own").alias("_j"))
+    return left.join(right, [key, "_i", "_j"]).drop("_i", "_j")
+
+
+def near_ends(edges: DataFrame) -> DataFrame:
+    """`a, x, dx`: of each page its neighbours along the edges that are near enough to lead to a pair over the threshold."""
+    d = edges.select("a", F.col("b").alias("x"), (1 - F.col("common") / F.col("together")).alias("dx")).filter(F.col("dx") <= 1 - HOP_PERCENT / 100)
+    return d.unionByName(d.select(F.col("x").alias("a"), F.col("a").alias("x"), "dx"))
+
+
 def hop_pairs(edges: DataFrame) -> DataFrame:
     """Pairs of two neighbours of one page that no edge joins yet, as far as the triangle inequality allows the threshold.
 
-    `sure` says that it proves the threshold.
+    `sure` says that it proves the threshold. These pairs are asked for one by one in `pairs`; `groups` does without them.
     """
-    d = edges.select("a", "b", (1 - F.col("common") / F.col("together")).alias("d")).filter(F.col("d") <= 1 - HOP_PERCENT / 100)
-    ends = d.unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    x, y = ends.select("a", F.col("b").alias("x"), F.col("d").alias("dx")), ends.select("a", F.col("b").alias("y"), F.col("d").alias("dy"))
     bound = 1 - SIMILARITY_PERCENT / 100
-    pairs = x.join(y, "a").filter("x < y").filter(F.abs(F.col("dx") - F.col("dy")) <= bound + 1e-9)
+    pairs = met_in_blocks(near_ends(edges), "a", ["x", "dx"], ["y", "dy"]).filter("x < y").filter(F.abs(F.col("dx") - F.col("dy")) <= bound + 1e-9)
     pairs = pairs.groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.min(F.col("dx") + F.col("dy")).alias("most"))
     return pairs.join(edges.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", (F.col("most") < bound - 1e-9).alias("sure"))
 
 
-def class_pairs(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes (`page_id, words_hash, rep`) of all pages and the pairs (`a, b`) of similar representatives."""
-    signed = durable(signatures(pages))
-    reps = signed.groupBy("words_hash").agg(F.min("page_id").alias("rep"), F.count("*").alias("n_copies"))
-    classes = signed.join(reps, "words_hash").select("page_id", "rep", "bands", "n_copies")
-    edges = durable(star_edges(classes.filter("page_id = rep").select("page_id", "bands")))
-    ids = durable(edges.select(F.col("a").alias("page_id")).union(edges.select("b")).distinct())
-    sets = durable(run_sets(pages, ids))
-    checked = durable(similarities(edges, sets))
-    passes = F.col("common") * 100 >= F.col("together") * SIMILARITY_PERCENT
-    hops = durable(hop_pairs(checked))
-    more = similarities(hops.filter("NOT sure").select("a", "b"), sets).filter(passes).select("a", "b")
-    return classes.drop("bands"), checked.filter(passes).select("a", "b").union(hops.filter("sure").select("a", "b")).union(more)
+def parting_pairs(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """`a, b`: two neighbours of one page that the components (`id, root`) hold apart, as far as the triangle inequality allows the threshold.
+
+    Where all near neighbours of a page are in one component, there is nothing to look at; else those outside the largest one meet the others.
+    """
+    ends = durable(near_ends(edges).join(roots.select(F.col("id").alias("x"), F.col("root").alias("rx")), "x"))
+    per = ends.groupBy("a", "rx").agg(F.count("*").alias("n"))
+    mixed = durable(per.groupBy("a").agg(F.count("*").alias("k"), F.max_by("rx", F.struct("n", "rx")).alias("main")).filter("k > 1").select("a", "main"))
+    concerned = ends.join(broadcast_checked(mixed), "a")
+    outside = concerned.filter("rx <> main").select("a", "x", "dx", "rx")
+    others = concerned.select("a", F.col("x").alias("y"), F.col("dx").alias("dy"), F.col("rx").alias("ry"))
+    met = outside.join(others, "a").filter((F.col("rx") != F.col("ry")) & (F.abs(F.col("dx") - F.col("dy")) <= 1 - SIMILARITY_PERCENT / 100 + 1e-9))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+class Stars:
+    """What both results start from: `classes` (`page_id, rep, n_copies`), the exact `sets` of pages with an edge, and the `edges` with both sizes."""
+
+    def __init__(self, pages: DataFrame):
+        signed = durable(signatures(pages))
+        reps = signed.groupBy("words_hash").agg(F.min("page_id").alias("rep"), F.count("*").alias("n_copies"))
+        classes = signed.join(reps, "words_hash").select("page_id", "rep", "bands", "n_copies")
+        edges = durable(star_edges(classes.filter("page_id = rep").select("page_id", "bands")))
+        ids = durable(edges.select(F.col("a").alias("page_id")).union(edges.select("b")).distinct())
+        self.classes = classes.drop("bands")
+        self.sets = durable(run_sets(pages, ids))
+        self.edges = durable(similarities(edges, self.sets))
+
+
+def similar(edges: DataFrame) -> DataFrame:
+    return edges.filter(F.col("common") * 100 >= F.col("together") * SIMILARITY_PERCENT).select("a", "b")
 
 
 def pairs(pages: DataFrame) -> DataFrame:
     """`page_id_a, page_id_b` (a < b) of all pages, copies included, at or over the threshold."""
-    classes, similar = class_pairs(pages)
-    members = classes.select("rep", "page_id")
+    stars = Stars(pages)
+    hops = durable(hop_pairs(stars.edges))
+    more = similar(similarities(hops.filter("NOT sure").select("a", "b"), stars.sets))
+    found = similar(stars.edges).union(hops.filter("sure").select("a", "b")).union(more)
+    members = stars.classes.select("rep", "page_id")
     a, b = members.select(F.col("rep").alias("a"), F.col("page_id").alias("x")), members.select(F.col("rep").alias("b"), F.col("page_id").alias("y"))
-    copies = classes.filter("n_copies > 1")
-    own = copies.select("rep", F.col("page_id").alias("x")).join(copies.select("rep", F.col("page_id").alias("y")), "rep").filter("x < y").select("x", "y")
-    across = similar.join(a, "a").join(b, "b").select("x", "y")
+    copies = stars.classes.filter("n_copies > 1").select("rep", F.col("page_id").alias("x"))
+    own = met_in_blocks(copies, "rep", ["x"], ["y"]).filter("x < y").select("x", "y")
+    across = found.join(a, "a").join(b, "b").select("x", "y")
     return across.union(own).select(F.least("x", "y").alias("page_id_a"), F.greatest("x", "y").alias("page_id_b"))
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """`id, root`: the least id reachable from each node, by large-star and small-star rounds that end when no edge changes."""
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """`id, root`: the least id reachable from each node, by large-star and small-star rounds until no edge changes.
+
+    Neighbours of one node are pointed to its least one, so the edges at a root are rows of their own and are only counted and compared, never listed.
+    """
     current = durable(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v").distinct())
     size = None
-    for _ in range(rounds):
+    while True:
         both = current.select(F.col("v").alias("c"), F.col("u").alias("n")).union(current.select(F.col("u").alias("c"), F.col("v").alias("n")))
         least = both.groupBy("c").agg(F.least(F.min("n"), F.col("c")).alias("m"))
         large = both.join(least, "c").filter("n > c").select(F.col("n").alias("v"), F.col("m").alias("u")).filter("v <> u").distinct()
@@ -206,9 +252,16 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
 
 
 def groups(pages: DataFrame) -> DataFrame:
-    """`page_id, class_id, group_id, n_links`: of every page of enough words its class of equal pages, its group of pages linked by similarity, and the links of its class."""
-    classes, similar = class_pairs(pages)
-    similar = durable(similar)
-    links = similar.select(F.col("a").alias("rep")).union(similar.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    roots = components(classes.select(F.col("rep").alias("id")).distinct(), similar).select(F.col("id").alias("rep"), "root")
-    return classes.join(roots, "rep").join(links, "rep", "left").select("page_id", F.col("rep").alias("class_id"), F.col("root").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """`page_id, class_id, group_id, n_copies`: of every page of enough words its class of equal pages with their number, and its group of pages linked by similarity.
+
+    The checked edges of the stars join nearly all of a group; pairs beyond them are looked for only where they could join two groups, so a
+    family costs its edges and not its pairs. The groups are those of all similar pairs.
+    """
+    stars = Stars(pages)
+    first = durable(components(stars.classes.select(F.col("rep").alias("id")).distinct(), similar(stars.edges)))
+    joined = similar(similarities(parting_pairs(stars.edges, first), stars.sets))
+    root = lambda k: first.select(F.col("id").alias(k), F.col("root").alias(f"r{k}"))
+    between = joined.join(root("a"), "a").join(root("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    second = components(first.select(F.col("root").alias("id")).distinct(), between).select(F.col("id").alias("root"), F.col("root").alias("group_id"))
+    roots = first.join(second, "root").select(F.col("id").alias("rep"), "group_id")
+    return stars.classes.join(roots, "rep").select("page_id", F.col("rep").alias("class_id"), "group_id", "n_copies")

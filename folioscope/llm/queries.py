@@ -155,8 +155,7 @@ SQL = {
         link AS (SELECT a, b FROM common JOIN n na ON na.page_id = a JOIN n nb ON nb.page_id = b WHERE c * 100 >= (na.n + nb.n - c) * 70 AND a IN (SELECT rep FROM cls) AND b IN (SELECT rep FROM cls)),
         ends AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
         reach(id, root) AS (SELECT DISTINCT rep, rep FROM cls UNION SELECT e.b, r.root FROM reach r JOIN ends e ON e.a = r.id)
-        SELECT page_id, cls.rep AS class_id, g.root AS group_id, coalesce(l.n, 0) AS n_links FROM cls JOIN (SELECT id, min(root) AS root FROM reach GROUP BY id) g ON g.id = cls.rep
-        LEFT JOIN (SELECT a, count(*) AS n FROM ends GROUP BY a) l ON l.a = cls.rep""",
+        SELECT page_id, cls.rep AS class_id, g.root AS group_id, count(*) OVER (PARTITION BY cls.rep) AS n_copies FROM cls JOIN (SELECT id, min(root) AS root FROM reach GROUP BY id) g ON g.id = cls.rep""",
     "p6_found": f"WITH {LINES} SELECT page_id, CAST(line_no AS INT) AS line_no FROM keyed JOIN hot USING (site, key)",
     "p6_rebuilt": f"""WITH {LINES}, marked AS (SELECT k.page_id, k.line_no, k.line, h.key IS NOT NULL AS hit FROM keyed k LEFT JOIN hot h USING (site, key))
         SELECT page_id, CAST(count(*) FILTER (WHERE hit) AS INT) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT hit), '') AS text FROM marked GROUP BY page_id""",

@@ -178,6 +178,19 @@ def test_near_duplicates_against_brute_force(spark):
         assert groups[a] == groups[b]
 
 
+def test_blocks_of_a_hot_key_lose_no_pair(spark):
+    rows = spark.range(60).selectExpr("CAST(id % 20 = 0 AS BIGINT) AS k", "id AS x")
+    got = [(r["x"], r["y"]) for r in near_duplicates.met_in_blocks(rows, "k", ["x"], ["y"], 7).filter("x < y").collect()]
+    assert len(got) == len(set(got)) == 57 * 56 // 2 + 3
+
+
+def test_groups_that_only_a_pair_beside_the_stars_joins(spark):
+    """1 and 2, 3 and 4 are near; 2 and 3 are near as well, but only 9, near to neither, has an edge to both."""
+    edges = spark.createDataFrame([(1, 2, 90, 100), (3, 4, 90, 100), (2, 9, 50, 100), (3, 9, 45, 100)], "a bigint, b bigint, common int, together int")
+    roots = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (9, 9)], "id bigint, root bigint")
+    assert {tuple(r) for r in near_duplicates.parting_pairs(edges, roots).collect()} >= {(2, 3)}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 2**63, 1000, dtype=np.uint64)
@@ -189,6 +202,13 @@ def test_signatures_estimate_similarity():
     assert (few != near_duplicates.EMPTY).all()
 
 
+def test_components_of_a_very_long_chain(spark):
+    """Ids in no order along the chain, which takes many rounds."""
+    ids = random.Random(2).sample(range(5000), 700)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a bigint, b bigint")
+    assert {r["root"] for r in near_duplicates.components(spark.createDataFrame([(i,) for i in ids], "id bigint"), edges).collect()} == {min(ids)}
+
+
 def test_components_of_a_long_chain(spark):
     nodes = spark.range(300).withColumnRenamed("id", "id")
     edges = spark.range(250).selectExpr("id AS a", "id + 1 AS b")
