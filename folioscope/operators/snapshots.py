@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.core.runtime import broadcast_checked
+from folioscope.core.runtime import broadcast_checked, durable
 
 
 def bag_residues(signed: DataFrame, columns: list[str], sign: str) -> DataFrame:
@@ -22,13 +22,16 @@ def bag_residues(signed: DataFrame, columns: list[str], sign: str) -> DataFrame:
 
 
 def label_residues(residues: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """One row per key that differs: `keys`, `change_kind`, and of each value its `old_` and `new_` side.
+    """One row per key that differs: `keys`, `change_kind`, of each value its `old_` and `new_` side, and how many rows of a side are in no pair (`old_rows`, `new_rows`).
 
-    With several rows of one key on a side, the greatest counts.
+    With several rows of one key on a side, the greatest counts; the others show in `old_rows` and `new_rows`.
+    The residues are few and read twice, so they are cut off from the plan that makes them.
     """
+    residues = durable(residues)
+
     def side(wanted: Column, name: str) -> DataFrame:
-        rows = residues.filter(wanted).groupBy(*keys).agg(F.max(F.struct(F.lit(1).alias("_there"), *values)).alias(name))
-        return rows.select(*[F.col(k).alias(f"_{name}_{k}") for k in keys], name)
+        rows = residues.filter(wanted).groupBy(*keys).agg(F.max(F.struct(F.lit(1).alias("_there"), *values)).alias(name), F.sum(F.abs("copies")).alias(f"{name}_rows"))
+        return rows.select(*[F.col(k).alias(f"_{name}_{k}") for k in keys], name, f"{name}_rows")
 
     new, old = side(F.col("copies") > 0, "new"), side(F.col("copies") < 0, "old")
     met = new.join(old, [F.col(f"_new_{k}").eqNullSafe(F.col(f"_old_{k}")) for k in keys], "full")
@@ -37,6 +40,7 @@ def label_residues(residues: DataFrame, keys: list[str], values: list[str]) -> D
         *[F.when(F.col("new").isNotNull(), F.col(f"_new_{k}")).otherwise(F.col(f"_old_{k}")).alias(k) for k in keys],
         kind.alias("change_kind"),
         *[F.col(f"{s}.{v}").alias(f"{s}_{v}") for v in values for s in ("old", "new")],
+        *[F.coalesce(f"{s}_rows", F.lit(0)).alias(f"{s}_rows") for s in ("old", "new")],
     )
 
 
@@ -96,7 +100,7 @@ def page_changes(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     one = one.withColumn("revision", F.last("known", ignorenulls=True).over(carried))
     signed = shifted(one, ["source", "path", "revision"])
     found = label_residues(bag_residues(signed, ["source", "path", "run_id", "revision"], "sign"), ["source", "run_id", "path"], ["revision"])
-    return found.filter("change_kind <> 'changed' OR (old_revision IS NOT NULL AND new_revision IS NOT NULL)").drop("source")
+    return found.filter("change_kind <> 'changed' OR (old_revision IS NOT NULL AND new_revision IS NOT NULL)").drop("source", "old_rows", "new_rows")
 
 
 def fingerprint_changes(runs: DataFrame) -> DataFrame:
