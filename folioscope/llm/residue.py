@@ -6,7 +6,8 @@ cut into passage windows: its lines, its sentences and the contents of its eleme
 about an exemplar's length that begin and end anywhere. Only messages of under SPAN_TERMS terms need a window of their own, as prose
 names them within its sentences. The index returns the exemplars that share a term with a window; of each the TF-IDF containment
 is taken both ways: the share of the window's weight that the exemplar covers, and the share of the exemplar's weight that the window
-covers. A window covered highly by a residue exemplar, and not as highly by a counter-example, is residue. Term weights come from the
+covers. A window covered highly by a residue exemplar, or by the exemplars of one kind together with one of them half held (a message in
+other words), and not as highly by a counter-example, is residue. Term weights come from the
 document frequencies over all pages.
 
 An unfilled value (`{{page.title}}`, `[object Object]`, `%PRODUCT_NAME%`, a lone `undefined`) is a term of its own kind, and its window
@@ -33,6 +34,8 @@ from folioscope.llm.text import WORD, identified
 
 #: Share of a window's weight, and of an exemplar's, from which a window is residue.
 WINDOW_COVERED, EXEMPLAR_COVERED = 0.75, 0.7
+#: A message in other words: the share of a window's weight that all exemplars of one kind cover together, and of one of them that the window covers.
+KIND_COVERED, ONE_COVERED = 0.9, 0.5
 #: The same for filler, whose exemplars are vocabularies rather than texts: only the window counts, from so many words on.
 FILLER_COVERED, FILLER_WORDS = 0.8, 4
 #: Share of a counter-example's weight near a value, from which the value is an example.
@@ -114,6 +117,43 @@ RESIDUE = [
         " cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum",
     ),
     ("value", "§value"),
+    # messages that widely used public software shows (servers, frameworks, wikis, browsers, site builders)
+    ("script", "We are sorry but this app does not work properly without JavaScript enabled Please enable it to continue"),
+    ("script", "This page requires JavaScript"),
+    ("script", "Please turn JavaScript on and reload the page"),
+    ("script", "JavaScript must be enabled to view this page"),
+    ("script", "This content requires JavaScript and cookies to be enabled"),
+    ("error", "Server Error 500"),
+    ("error", "Whoops looks like something went wrong"),
+    ("error", "An unexpected error has occurred"),
+    ("error", "This site can not be reached"),
+    ("error", "We are having trouble finding that site"),
+    ("error", "The server encountered an internal error and was unable to complete your request"),
+    ("error", "The server is temporarily unable to service your request due to maintenance downtime or capacity problems"),
+    ("error", "The upstream server took too long to respond"),
+    ("error", "Sorry this page is not available The link may be broken or the page may have been removed"),
+    ("error", "Fatal error Uncaught Error Call to undefined function"),
+    ("error", "Uncaught TypeError Cannot read properties of undefined"),
+    ("error", "There has been a critical error on this website"),
+    ("access", "Sorry you have been blocked"),
+    ("access", "Please complete the security check to access this site"),
+    ("access", "Attention Required"),
+    ("access", "You need to sign in to see this page"),
+    ("access", "Please verify you are a human"),
+    ("access", "Your IP address has been blocked due to suspicious activity"),
+    ("access", "Authentication is required to view this content"),
+    ("wait", "Just a moment"),
+    ("wait", "If you are not redirected automatically follow this link"),
+    ("wait", "Please wait while your request is being verified"),
+    ("stub", "Welcome to nginx If you see this page the web server is successfully installed and working Further configuration is required"),
+    ("stub", "Apache default page It works"),
+    ("stub", "Hello world This is your first post Edit or delete it then start writing"),
+    ("stub", "There is currently no text in this page You can search for this page title in other pages"),
+    ("stub", "This section is empty You can help by adding to it"),
+    ("stub", "Content for this page will be added soon"),
+    ("stub", "This domain is parked Buy this domain"),
+    ("stub", "Add your content here"),
+    ("stub", "Nothing here yet"),
 ]
 COUNTER = [
     ("explained", "Write the template as and the engine"),
@@ -130,6 +170,8 @@ COUNTER = [
 TERM = re.compile(r"§value|§host|[^\W_]+")
 DOMAIN = re.compile(r"\.(?:example|com|org|net|io|dev)\b", re.I)
 HOST = re.compile(r"\b(?:https?://)?[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net|io|dev)\b(?:/\S*)?", re.I)
+#: Any digit makes a term read as 0.
+NUMBER = re.compile(r"\d")
 #: Values that a template left unfilled, by the notations of common template languages.
 VALUE = re.compile(
     r"\{\{\{?-?\s*%?\s*[a-z_]+(?:[._][A-Za-z_]+|[A-Z]\w*)+\s*%?\s*-?\}?\}\}|\{\{%-?\s*\w[^%\n]*%-?\}\}|\{\{\s*(?:title|name|version|product|url|date|author|content|description)\s*\}\}"
@@ -242,6 +284,12 @@ class Exemplars:
         for i, s in enumerate(self.sets):
             for t in s:
                 self.index[t].append(i)
+        #: The kinds of message in which a term occurs; for these a window may be put together from several exemplars.
+        self.kinds_of: dict[str, set[str]] = defaultdict(set)
+        for i, k in enumerate(self.kinds):
+            if k not in ("filler", "explained", "value"):
+                for t in self.sets[i]:
+                    self.kinds_of[t].add(k)
         others = frozenset().union(*(s for s, k in zip(self.sets, self.kinds, strict=True) if k not in ("filler", "explained")))
         #: Of each exemplar the terms of which a matching window has at least one, whatever the frequencies: the others hold too little of it.
         self.gates = [self.sets[i] - others if k == "filler" else self._gate(i) for i, k in enumerate(self.kinds)]
@@ -251,7 +299,7 @@ class Exemplars:
     def _gate(self, i: int) -> frozenset[str]:
         gate, rest = set(), self.total[i]
         for t in sorted(self.sets[i], key=lambda t: (-self.weight[t], t)):
-            if rest < EXEMPLAR_COVERED * self.total[i]:
+            if rest < ONE_COVERED * self.total[i]:
                 break
             gate.add(t)
             rest -= self.weight[t]
@@ -339,6 +387,10 @@ class Exemplars:
             return None
         common, whole = self.containment(known)
         best, kind, against = 0.0, None, 0.0
+        by_kind: dict[str, float] = defaultdict(float)
+        for t in known:
+            for k in self.kinds_of.get(t, ()):
+                by_kind[k] += self.weight[t]
         for i in sorted(common):
             covered, held = common[i] / whole, common[i] / self.total[i]
             if self.kinds[i] == "filler":
@@ -347,7 +399,7 @@ class Exemplars:
                 against = max(against, held if self.kinds[i] == "explained" else 0.0)
                 continue
             else:
-                hit = covered >= WINDOW_COVERED and held >= EXEMPLAR_COVERED
+                hit = covered >= WINDOW_COVERED and held >= EXEMPLAR_COVERED or len(self.sets[i]) > 1 and held >= ONE_COVERED and by_kind[self.kinds[i]] >= KIND_COVERED * whole
             if hit and covered > best:
                 best, kind = covered, self.kinds[i]
         return kind if best > against else None
@@ -369,13 +421,19 @@ def vocabulary() -> frozenset[str]:
     return frozenset(t for _, text in RESIDUE + COUNTER for t in terms(text.replace("HOST", "§host")))
 
 
+def held_kinds(text: str) -> set[str]:
+    """The terms that stand for many: numbers, hosts, unfilled values."""
+    signs = {"0": NUMBER.search(text), "§host": "." in text and HOST.search(text), "§value": SIGNS.search(text) and any(_value(m) == " §value " for m in VALUE.finditer(text))}
+    return {t for t, found in signs.items() if found}
+
+
 def _present(batches):
     wanted = vocabulary()
     for batch in batches:
         ids, found = [], []
         for page, text in zip(batch.column("page_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             if text:
-                held = wanted.intersection(WORD.findall(text.lower()))
+                held = wanted.intersection(WORD.findall(text.lower())) | held_kinds(text)
                 ids += [page] * len(held)
                 found += held
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["page_id", "term"])
