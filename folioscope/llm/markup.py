@@ -4,8 +4,8 @@ A page is parsed into nodes in document order. Each node has a root-to-leaf tag
 markdown/h2, wiki/table/row, latex/itemize/item, text/p, code/pre; marks within a line (emphasis, links, tags, character references,
 TeX) are leaves of their own below it. Per path the number of nodes, their text length and their punctuation are added up. Every node
 takes its path's mean text length and mean punctuation; both series are smoothed along the document by a Gaussian, fused by product,
-and cut at a share of their spread: nodes above are content. Headings, list items, tables, code and formulas are kept wherever they
-stand between content. What is kept is written out in one plain notation: # headings, - and 1. lists, | tables |, ``` code, $ formulas.
+and cut at a share of their spread: a path whose nodes lie above on average is content, and paragraphs of other paths are left out wherever
+they stand. Headings, list items, tables, code and formulas are kept where they stand between content. What is kept is written out in one plain notation: # headings, - and 1. lists, | tables |, ``` code, $ formulas.
 
 A page has a notation if one of its paths has that root. Code blocks, inline code and front matter have the root code or none.
 List signs, bars between words, unfilled values and example templates are no notation; # lists count as wiki on a wiki page.
@@ -81,6 +81,16 @@ TEX_BLOCK = re.compile(r"^\\(begin|end)\{(\w+)\*?\}")
 TEX_FRAME = re.compile(r"^\\(?:documentclass|usepackage|title|author|date|maketitle|label|pagestyle|bibliography)\b")
 SECTION_LEVEL = {"chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4}
 BLOCKS = {"p", "div", "li", "ul", "ol", "table", "tr", "td", "th", "thead", "tbody", "h1", "h2", "h3", "h4", "h5", "h6", "main", "article", "section", "nav", "header", "footer", "aside", "blockquote", "body", "html", "head", "dl", "dt", "dd", "figure", "form"}
+#: By an element's tag the open elements that it ends, and those beyond which it ends nothing.
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol"}),
+    "tr": ({"tr"}, {"table", "thead", "tbody"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "p": ({"p"}, BLOCKS - {"p"}),
+}
+#: Tags at either end of a path; of a deeper one the middle is left out.
+DEEP = 25
 PUNCTUATION = re.compile(r"[.,;:!?()\"'“”«»…—–-]")
 WORDS = re.compile(r"[^\W_]")
 
@@ -331,6 +341,18 @@ class Page:
             self._add("text/p", "p", bare)
         return i + 1
 
+    def _open(self, name: str) -> None:
+        """An element begins; one that it ends by beginning (an item the item before, a row the row before) is closed first."""
+        ended = IMPLIED.get(name)
+        if ended:
+            for k in range(len(self.tags) - 1, -1, -1):
+                if self.tags[k] in ended[0]:
+                    del self.tags[k:]
+                    break
+                if self.tags[k] in ended[1]:
+                    break
+        self.tags.append(name)
+
     def _html(self, lines: list[str], i: int, bare: str) -> int:
         """A line of HTML, or within an open element: its blocks become nodes below the open tags."""
         self._marks(bare, "block")
@@ -344,7 +366,7 @@ class Page:
                 inner = [t for t in self.tags if t in BLOCKS]
                 leaf = next((t for t in reversed(inner) if t in ("li", "td", "th", "tr") or t[0] == "h" and t[1:].isdigit()), "p")
                 what = "numbered" if leaf == "li" and "ol" in inner else "item" if leaf == "li" else "row" if leaf in ("td", "th", "tr") else "heading" if leaf != "p" else "p"
-                root = "html/" + "/".join(inner) if inner else "text/p"
+                root = "html/" + tag_path(inner) if inner else "text/p"
                 self._add(root, what, text, int(leaf[1:]) if what == "heading" else 0)
 
         if self.tags and not OPEN_TAG.search(bare):
@@ -368,13 +390,11 @@ class Page:
                     while self.tags.pop() != name:
                         pass
             elif not found[4]:
-                if len(self.tags) > 50:
-                    self.tags.clear()
-                self.tags.append(name)
+                self._open(name)
         piece.append(bare[at:])
         close()
         if cells:
-            self._add("html/" + "/".join([t for t in self.tags if t in BLOCKS] + ["tr"]), "row", "| " + " | ".join(cells) + " |")
+            self._add("html/" + tag_path([t for t in self.tags if t in BLOCKS] + ["tr"]), "row", "| " + " | ".join(cells) + " |")
         # inline-level elements and paragraphs left open end with their line
         while self.tags and self.tags[-1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and f"</{self.tags[-1]}" not in bare.lower() and i + 1 < len(lines) and not lines[i + 1].strip():
             self.tags.pop()
@@ -394,14 +414,21 @@ class Page:
         marks = smooth(np.array([s[2] / s[0] for s in stats], float))
         fused = length * (1 + marks)
         cut = CUT * fused.std()
-        chosen = np.flatnonzero((fused >= cut) & np.array([self.nodes[k].kind not in ("item", "numbered") or len(self.nodes[k].text) > 30 for k in live]))
-        if not len(chosen):
+        # a path is content if its nodes are so on average
+        score: dict[str, list[float]] = defaultdict(lambda: [0.0, 0])
+        for k, value in zip(live, fused, strict=True):
+            total = score[self.nodes[k].path]
+            total[0] += value
+            total[1] += 1
+        paths = {p for p, (total, n) in score.items() if total >= cut * n}
+        chosen = [k for k in live if self.nodes[k].path in paths and (self.nodes[k].kind not in ("item", "numbered") or len(self.nodes[k].text) > 30)]
+        if not chosen:
             return [True] * len(self.nodes)
-        first, last = live[chosen[0]], live[chosen[-1]]
+        first, last = chosen[0], chosen[-1]
         while first > 0 and self.nodes[first - 1].kind in ("heading", "break"):
             first -= 1
         for k in range(first, last + 1):
-            keep[k] = True
+            keep[k] = self.nodes[k].path in paths or self.nodes[k].kind != "p"
         for k in range(last + 1, len(self.nodes)):  # code, tables and formulas that end a text
             if self.nodes[k].kind in ("code", "row", "formula"):
                 keep[last + 1 : k + 1] = [True] * (k - last)
@@ -431,6 +458,10 @@ class Page:
         return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
 
 
+def tag_path(tags: list[str]) -> str:
+    return "/".join(tags if len(tags) <= 2 * DEEP else [*tags[:DEEP], "…", *tags[-DEEP:]])
+
+
 def smooth(x: np.ndarray) -> np.ndarray:
     kernel = np.array([math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-RADIUS, RADIUS + 1)])
     weight = np.convolve(np.ones(len(x)), kernel, "full")[RADIUS : RADIUS + len(x)]

@@ -73,6 +73,20 @@ def test_clean_text_of_other_notations():
     assert "## Head" in got and "Some bold words—in" in got and "- one of the items" in got
 
 
+def test_paragraphs_of_a_thin_path_are_left_out_amid_content():
+    body = "<p>Each cluster sorts its oldest shard before the next restart begins, and the others wait for it, as they must.</p>\n"
+    out = markup.Page("<main>\n" + body * 4 + "<aside>\n" + "<p>See also</p>\n" * 8 + "</aside>\n" + body * 4 + "</main>").render()
+    assert "See also" not in out and out.count("Each cluster") == 8
+
+
+def test_deep_and_unclosed_elements_lose_no_text():
+    deep = "<div>\n" * 300 + "<p>at the bottom of it all</p>\n" + "</div>\n" * 300 + "<p>after it</p>"
+    out = markup.Page(deep).render()
+    assert "at the bottom" in out and "after it" in out
+    items = markup.Page("<ul>\n" + "".join(f"<li>item number {chr(97 + k % 26)}\n" for k in range(200)) + "</ul>").render()
+    assert items.count("- item number") == 200
+
+
 def test_text_around_code_elements_on_a_line():
     first, last = "The first paragraph has quite a lot of words, so that it is content.", "The last paragraph has quite a lot of words too, and it is content."
     got = markup.Page(f"<html><body><h1>Head</h1><p>{first}</p><script>var x = 1;</script><pre>a = b\nc = d</pre><p>{last}</p></body></html>").render()
