@@ -6,6 +6,7 @@ from __future__ import annotations
 import html
 import json
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
@@ -92,9 +93,11 @@ def links(pages: DataFrame) -> DataFrame:
         .when(F.col("href").startswith("/"), F.concat(root, F.col("href")))
         .otherwise(F.concat(folder, F.regexp_replace("href", r"^\./", "")))
     )
-    # a/../b and a/./b
-    level = M.chained(absolute, [lambda c: F.regexp_replace(c, r"/\./", "/")] + [lambda c: F.regexp_replace(c, r"(?<![:/])/(?!\.\./)[^/]+/\.\./", "/")] * 4)
-    return found.select("page", "url", F.regexp_replace(F.regexp_replace(level, "#.*$", ""), "/+$", "").alias("link"))
+    split = M.once(found.select("page", "url", "href"), to=absolute)
+    at = lambda g: F.regexp_extract("to", r"^((?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)?)([^?#]*)([^#]*)", g)
+    step = lambda way, part: F.when(part == "..", F.slice(way, 1, F.greatest(F.size(way) - 1, F.lit(1)))).when(part == ".", way).otherwise(F.concat(way, F.array(part)))
+    path = F.when(at(2).rlike(r"/\.\.?(?:/|$)"), F.array_join(F.aggregate(F.split(at(2), "/", -1), F.array().cast("array<string>"), step), "/")).otherwise(at(2))
+    return split.select("page", "url", F.regexp_replace(F.concat(at(1), path, at(3)), "/+$", "").alias("link"))
 
 
 def words(text: Column) -> Column:
@@ -179,10 +182,7 @@ def islands(pages: DataFrame) -> DataFrame:
 
 def island_text(pages: DataFrame) -> DataFrame:
     """`page, text`: the best texts of a page's inline JSON, in order of score, one of those that begin alike."""
-    spark = pages.sparkSession
-    islands(pages).createOrReplaceTempView("_islands")
-    spark.udtf.register("_json_strings", JsonStrings)
-    leaves = spark.sql("SELECT page, name, pos, path, value FROM _islands, LATERAL _json_strings(body)")
+    leaves = islands(pages).lateralJoin(JsonStrings(F.col("body").outer())).select("page", "name", "pos", "path", "value")
     scored = leaves.withColumn("score", prose_score(F.col("value"))).filter("score > 0")
     top = scored.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("score"), "pos", "path"))).filter(F.col("place") <= MOST_TEXTS)
     first = top.withColumn("again", F.row_number().over(Window.partitionBy("page", F.substring(F.trim("value"), 1, SAME_PREFIX)).orderBy("place"))).filter("again = 1")
@@ -219,82 +219,127 @@ class Element:
             return self.attrs.get(name) == value.strip('"')
         return self.tag == selector
 
-    def walk(self):
-        """The elements below, in document order, without those that are never content."""
-        for c in self.children:
-            if isinstance(c, Element) and not c.chrome():
-                yield c
-                yield from c.walk()
-
-    def text(self) -> str:
-        return "".join(c if isinstance(c, str) else "" if c.chrome() else c.text() for c in self.children)
+    def inner(self) -> str:
+        """The HTML within, without what is never content."""
+        out, ahead = [], list(reversed(self.children))
+        while ahead:
+            c = ahead.pop()
+            if isinstance(c, Element):
+                if not c.chrome():
+                    out.append(c.open)
+                    ahead += [Closing(c.tag), *reversed(c.children)]
+            else:
+                out.append(f"</{c.tag}>" if isinstance(c, Closing) else html.escape(c, quote=False))
+        return "".join(out)
+
+
+class Closing(NamedTuple):
+    tag: str
+
+
+class Extent(NamedTuple):
+    """The length of a text with its white space squeezed, so that texts side by side can be added up."""
+
+    letters: int = 0
+    words: int = 0
+    open_start: bool = False
+    open_end: bool = False
+
+    @classmethod
+    def of(cls, text: str) -> Extent:
+        words = text.split()
+        return cls(sum(map(len, words)), len(words), bool(text) and text[0].isspace(), bool(text) and text[-1].isspace())
+
+    def then(self, other: Extent) -> Extent:
+        if not self.words:
+            return other._replace(open_start=self.open_start or self.open_end or other.open_start) if other.words else Extent(0, 0, self.open_start or other.open_start, self.open_end or other.open_end)
+        if not other.words:
+            return self._replace(open_end=self.open_end or other.open_start or other.open_end)
+        joined = not (self.open_end or other.open_start)
+        return Extent(self.letters + other.letters, self.words + other.words - joined, self.open_start, other.open_end)
 
     def size(self) -> int:
-        return len(" ".join(self.text().split()))
-
-    def inner(self) -> str:
-        return "".join(html.escape(c, quote=False) if isinstance(c, str) else "" if c.chrome() else f"{c.open}{c.inner()}</{c.tag}>" for c in self.children)
+        return self.letters + max(self.words - 1, 0)
+
+
+class Measured(NamedTuple):
+    """An element that may be content, with its depth, the length of its text, and that of the text elements below it."""
+
+    element: Element
+    depth: int
+    size: int
+    below: int
+
+
+def measured(root: Element) -> list[Measured]:
+    """All elements that may be content, in document order, sized from the leaves up in one walk."""
+    order, ahead = [], [(root, 1)]
+    while ahead:
+        node, depth = ahead.pop()
+        order.append((node, depth))
+        ahead += [(c, depth + 1) for c in reversed(node.children) if isinstance(c, Element) and not c.chrome()]
+    extent, below = {}, {}
+    for node, _ in reversed(order):
+        whole, text = Extent(), 0
+        for c in node.children:
+            if isinstance(c, str):
+                whole = whole.then(Extent.of(c))
+            elif id(c) in extent:
+                whole = whole.then(extent[id(c)])
+                text += below[id(c)] + (extent[id(c)].size() if c.tag in TEXT_TAGS else 0)
+        extent[id(node)], below[id(node)] = whole, text
+    return [Measured(node, depth, extent[id(node)].size(), below[id(node)]) for node, depth in order]
 
 
 class Tree(HTMLParser):
     VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
-    DEEPEST = 200
 
     def __init__(self, source: str):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Element("document", {}, "", None)
-        self.depth = 0
         self.feed(source)
         self.close()
 
     def handle_starttag(self, tag, attrs):
         node = Element(tag, {k: v or "" for k, v in attrs}, self.get_starttag_text() or f"<{tag}>", self.at)
         self.at.children.append(node)
-        if tag not in self.VOID and self.depth < self.DEEPEST:
-            self.at, self.depth = node, self.depth + 1
+        if tag not in self.VOID:
+            self.at = node
 
     def handle_startendtag(self, tag, attrs):
         self.at.children.append(Element(tag, {k: v or "" for k, v in attrs}, f"<{tag}>", self.at))
 
     def handle_endtag(self, tag):
-        node, up = self.at, 0
+        node = self.at
         while node.parent is not None and node.tag != tag:
-            node, up = node.parent, up + 1
+            node = node.parent
         if node.parent is not None:
-            self.at, self.depth = node.parent, self.depth - up - 1
+            self.at = node.parent
 
     def handle_data(self, data):
         self.at.children.append(data)
 
 
+def candidates(elements: list[Measured]):
+    """(rank, element, how it was found, characters) of everything that could be the main content; the least rank is taken.
+
+    Ranks: containers named as main content with enough text, by name; containers with enough text in text elements, by that text, the
+    deeper of equals; the same of either kind with less text, by the text; the body; the page.
+    """
+    for place, (e, depth, size, below) in enumerate(elements):
+        for k, name in enumerate(MAIN):
+            if place and size and e.matches(name):
+                yield (0, k, place) if size >= LEAST_MAIN else (2, -size, 0, k, place), e, name, size
+        if place and e.tag in CONTAINERS and below:
+            yield (1, -below, -depth, place) if below >= LEAST_MAIN else (2, -below, 1, -depth, place), e, "densest-block", below
+        if e.tag == "body" or not place:
+            yield (3, not place, place), e, "body", size
+
+
 def pick_main(source: str) -> tuple[str, str, int]:
-    """(HTML, how it was found, characters) of a page's main content: a named container with enough text, else the container with most
-    text in content elements (of equals the deeper), else the best of either, else the body."""
-    root = Tree(source).root
-    every, named = list(root.walk()), (0, "", None)
-    for selector in MAIN:
-        for e in every:
-            if e.matches(selector):
-                n = e.size()
-                if n >= LEAST_MAIN:
-                    return e.inner(), selector, n
-                if n > named[0]:
-                    named = (n, selector, e)
-    best, score = None, (0, 0)
-    for e in every:
-        if e.tag in CONTAINERS:
-            depth, up = 0, e
-            while up is not None:
-                depth, up = depth + 1, up.parent
-            mine = (sum(b.size() for b in e.walk() if b.tag in TEXT_TAGS), depth)
-            if mine[0] > 0 and mine > score:
-                best, score = e, mine
-    if best is not None and (score[0] >= LEAST_MAIN or score[0] > named[0]):
-        return best.inner(), "densest-block", score[0]
-    if named[2] is not None:
-        return named[2].inner(), named[1], named[0]
-    body = next((e for e in every if e.tag == "body"), root)
-    return body.inner(), "body", body.size()
+    """(HTML, how it was found, characters) of a page's main content."""
+    _, element, how, chars = min(candidates(measured(Tree(source).root)), key=lambda c: c[0])
+    return element.inner(), how, chars
 
 
 def _pick(batches):

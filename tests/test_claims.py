@@ -160,3 +160,31 @@ def test_mutations_are_found_again(spark):
     hit = {(r["page"], r["detector"]) for r in found.collect()}
     for r in made:
         assert (r["page"], r["detector"]) in hit
+
+
+def test_samples_compositions_and_defaults_of_the_index():
+    doc = {
+        "security": [{"key": []}],
+        "paths": {
+            "/a/{id}": {
+                "parameters": [{"name": "id", "in": "path", "required": True, "schema": {"type": "string"}}, {"name": "sort", "in": "query", "schema": {"$ref": "#/components/schemas/Order"}}],
+                "get": {"responses": {"200": {}, "404": {}}},
+                "put": {
+                    "operationId": "put_a", "security": [{"key": ["a.write", "a.read"]}, {}],
+                    "requestBody": {"content": {"application/json": {"schema": {"allOf": [{"$ref": "#/components/schemas/Base"}, {"anyOf": [{"properties": {"x": {}}, "required": ["x"]}]}]}}}},
+                },
+            }
+        },
+        "components": {
+            "schemas": {
+                "Order": {"oneOf": [{"enum": ["asc"]}, {"enum": ["desc", None]}]},
+                "Base": {"required": ["name"], "properties": {"name": {}, "parts": {"items": {"$ref": "#/components/schemas/Base"}}, "example": {"enum": ["real"]}}, "example": {"properties": {"no": {"enum": ["sample"]}}}},
+            }
+        },
+    }
+    d = openapi.Document(doc)
+    assert d.enums() == {"sort": {"asc", "desc"}, "example": {"real"}} and d.named_enums() == {"Order": {"asc", "desc"}}
+    assert [(*r[:3], *r[5:]) for r in d.operations()] == [
+        ("/a/{id}", "GET", "get:/a/{id}", True, [], ["id"], ["sort"], [], [], [], ["200", "404"]),
+        ("/a/{id}", "PUT", "put_a", True, ["a.read", "a.write"], ["id"], ["sort"], ["example", "name", "parts", "x"], [], ["name"], []),
+    ]
