@@ -9,9 +9,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side of at most a few dozen bytes a row may be broadcast.
-BROADCAST_ROWS = 500_000
+#: Rows, and bytes of its texts and lists, up to which a side may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 128 << 20
 
 
 def local_session(cores: int | str = "*", memory: str = "12g", partitions: int = 8) -> SparkSession:
@@ -86,11 +87,17 @@ def clear(spark: SparkSession) -> None:
 
 
 def broadcast_checked(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `most` rows, else as it is, to be joined by shuffle.
+    """`df` with a broadcast hint if it has at most `most` rows of at most `BROADCAST_BYTES` in all, else as it is, to be joined by shuffle.
 
     `df` is computed once more for the check, so it should be a small table, an aggregate of one, or durable.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    some = df.limit(most + 1)
+    wide = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
+    if not wide:
+        return F.broadcast(df) if some.count() <= most else df
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in wide])))), F.lit(0))
+    rows, size = some.agg(F.count("*"), size).first()
+    return F.broadcast(df) if rows <= most and size <= BROADCAST_BYTES else df
 
 
 def spread(df: DataFrame) -> DataFrame:

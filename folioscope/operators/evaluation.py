@@ -81,7 +81,9 @@ def mutations(claims: DataFrame, pages: DataFrame, per_kind: int = 4, seed: int
     after = F.when(body, F.concat(F.lit('"'), renamed, F.lit('"'))).when(F.col("name_") == KINDS[3], F.concat(F.lit("`"), "value", F.lit("_legacy`"))).when(F.col("name_") == KINDS[1], F.concat(F.lit("-X "), flipped)).when(F.col("name_") == KINDS[2], F.concat(F.lit("/v2"), "path")).otherwise("X-Removed:")
     detector = F.when(body, "unknown_parameter").when(F.col("name_") == KINDS[3], "unknown_enum_value").when(F.col("name_") == KINDS[4], "missing_auth").otherwise("unknown_endpoint")
     rows = each.select(F.col("name_").alias("name"), detector.alias("detector"), "page", "line", before.alias("before"), after.alias("after"), F.xxhash64("page", F.lit(seed)).alias("order_"))
+    # only places where the text to change stands count towards a kind's number
+    rows = rows.join(pages.select("page", "text"), "page").filter(F.col("text").contains(F.col("before"))).drop("text")
     one = rows.groupBy("page").agg(F.min(F.struct(F.xxhash64("name", "order_").alias("h"), "name", "detector", "line", "before", "after", "order_")).alias("m")).select("page", "m.*")
     ranked = one.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("order_", "page"))).filter(F.col("place") <= per_kind)
-    met = ranked.join(pages.select("page", "text"), "page").filter(F.col("text").contains(F.col("before")))
+    met = ranked.join(pages.select("page", "text"), "page")
     return met.select("name", "detector", "page", "line", "before", "after", replace_first(F.col("text"), F.col("before"), F.col("after")).alias("text"))

@@ -7,6 +7,10 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.core.runtime import broadcast_checked
+
+#: Parts in which the first alerts are sought before they are compared.
+PARTS = 64
 SEVERITIES = ("error", "warning", "suggestion")
 
 
@@ -43,21 +47,31 @@ def summary(alerts: DataFrame, links: DataFrame | None = None, top: int = 15) ->
     """Alerts by rule, with the rule's link if known, and the pages with most alerts."""
     rule = alerts.groupBy("rule").agg(F.count("*").alias("n"))
     if links is not None:
-        rule = rule.join(F.broadcast(links.limit(10_000)), "rule", "left")
+        rule = rule.join(broadcast_checked(links), "rule", "left")
     pages = alerts.groupBy("page").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "page").limit(top)
     return rule, pages
 
 
 def annotations(alerts: DataFrame, most: int = 50) -> DataFrame:
-    """The first alerts of each severity by page and line, as workflow commands, and how many more there are."""
-    order = Window.partitionBy("severity").orderBy("page", "line", "rule", "found")
-    rows = alerts.withColumn("place", F.row_number().over(order))
+    """The first alerts of each severity by page and line, as workflow commands; `suppressed` says how many more there are.
+
+    The first of each of many parts come first, so that no task sorts all alerts of a severity.
+    """
+    order = ["page", "line", "rule", "found"]
+    part = F.pmod(F.xxhash64("page"), F.lit(PARTS)).alias("_part")
+    first = alerts.select("*", part).withColumn("place", F.row_number().over(Window.partitionBy("severity", "_part").orderBy(*order))).filter(F.col("place") <= most)
+    rows = first.withColumn("place", F.row_number().over(Window.partitionBy("severity").orderBy(*order)))
     command = F.when(F.col("severity") == "error", "error").when(F.col("severity") == "warning", "warning").otherwise("notice")
     safe = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "%", "%25"), "\r", "%0D"), "\n", "%0A")
     said = F.concat(F.lit("::"), command, F.lit(" file="), F.col("page"), F.lit(",line="), F.col("line"), F.lit("::"), F.col("rule"), F.lit(": "), safe(F.col("found")))
     return rows.filter(F.col("place") <= most).select("severity", "page", "line", "rule", "place", said.alias("command"))
 
 
+def suppressed(alerts: DataFrame, most: int = 50) -> DataFrame:
+    """`severity, further`: how many alerts of each severity `annotations` leaves out."""
+    return alerts.groupBy("severity").agg(F.greatest(F.count("*") - most, F.lit(0)).alias("further"))
+
+
 def compared(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """`key, before, after, delta, percent` of the alerts of two states; a key missing on one side counts 0 there."""
     b, a = before.groupBy(key).agg(F.count("*").alias("before")), after.groupBy(key).agg(F.count("*").alias("after"))

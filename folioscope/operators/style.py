@@ -24,7 +24,8 @@ SENTENCE_END = r"[.!?]\s+"
 def scoped(pages: DataFrame) -> DataFrame:
     """`page, area, offset, raw, seen`: each page's body with code blanked, as it is and with what prose rules do not look at left out."""
     bare = M.once(pages.select("page", "text"), offset=M.body_offset(F.col("text")), raw=M.blanked(M.body(F.col("text"))))
-    return M.once(bare.select("page", "offset", "raw"), area=area(F.col("page")), seen=F.regexp_replace("raw", UNSEEN, ""), low=F.lower("raw"))
+    both = M.once(bare.select("page", "offset", "raw"), area=area(F.col("page")), low=F.lower("raw"), seen=F.regexp_replace("raw", UNSEEN, ""))
+    return M.once(both, low_seen=F.lower("seen"))
 
 
 def area(page: Column) -> Column:
@@ -38,7 +39,7 @@ def _on_page(rule: Rule) -> Column:
     if rule.scope == "heading" and rule.kind == "existence":
         return text.rlike(rf"(?m)^#{{1,6}}[ \t].*{rule.pattern()}")
     if rule.kind in ("existence", "substitution"):
-        return may_match(F.col("low"), text, list(rule.tokens or rule.swap)) & text.rlike("(?m)" + rule.pattern())
+        return may_match(F.col("low" if rule.scope == "raw" else "low_seen"), text, list(rule.tokens or rule.swap)) & text.rlike("(?m)" + rule.pattern())
     if rule.kind == "conditional":
         return text.rlike(rule.tokens[0])
     if rule.kind == "capitalization":

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioscope.core.runtime import broadcast_checked
 from folioscope.functions import masking as M
+from folioscope.operators.html_text import unescape
 from folioscope.operators.structure import excluded
 
 PAGE = ["page", "text", "title", "url", "revision"]
@@ -60,10 +62,7 @@ def next_link(responses: DataFrame, path: str) -> DataFrame:
 def sitemap(documents: DataFrame) -> DataFrame:
     """`pos, url` of the locations in sitemap XML (`xml`)."""
     locs = documents.select(F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("pos", "loc"))
-    plain = F.col("loc")
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(a), F.lit(b))
-    return locs.select("pos", plain.alias("url"))
+    return locs.select("pos", unescape(F.col("loc")).alias("url"))
 
 
 def url_list(lines: DataFrame) -> DataFrame:
@@ -91,7 +90,11 @@ def allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     used = own if own.limit(1).count() else rules.filter("agent = '*'")
     used = used.filter("path IS NOT NULL AND path <> ''").select(F.col("path").alias("rule_path"), (F.col("rule") == "allow").alias("allow"))
     path = F.regexp_replace(F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^#]*)", 1), "^$", "/")
-    met = urls.withColumn("_path", path).join(F.broadcast(used.limit(100_000)), F.col("_path").startswith(F.col("rule_path")), "left")
+    # a rule is met by the prefix of the path that has its length, so any number of rules is an equal join
+    lengths = F.broadcast(used.agg(F.collect_set(F.length("rule_path")).alias("_lengths")))  # one row, of as many numbers as there are lengths
+    prefixes = F.transform(F.filter("_lengths", lambda n: n <= F.length("_path")), lambda n: F.substring(F.col("_path"), F.lit(1), n))
+    each = urls.withColumn("_path", path).crossJoin(lengths).withColumn("rule_path", F.explode_outer(prefixes)).withColumnRenamed("rule_path", "_prefix")
+    met = each.join(broadcast_checked(used), F.col("_prefix") == F.col("rule_path"), "left")
     best = met.groupBy(*urls.columns).agg(F.max(F.when(F.col("rule_path").isNotNull(), F.struct(F.length("rule_path").alias("n"), "allow"))).alias("r"))
     return best.filter("r IS NULL OR r.allow").select(*urls.columns)
 

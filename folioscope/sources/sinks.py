@@ -56,9 +56,9 @@ def compact(n: float) -> str:
 def dashboard(trend: DataFrame, checks: DataFrame, findings: DataFrame, most: int = MOST_ROWS) -> str:
     """One HTML page: the last run's figures, the trend from two runs on, the most frequent checks, and the first findings.
 
-    `trend` is one source and label, as `runs.trend` gives it. Only bounded heads of the frames come to the driver.
+    `trend` is one source and label, as `runs.trend` gives it, and all of its runs are shown. Of checks and findings only bounded heads come to the driver.
     """
-    runs = [r.asDict() for r in trend.orderBy(F.desc("run_id")).limit(60).collect()][::-1]
+    runs = [r.asDict() for r in trend.orderBy("run_id").collect()]
     bars = [r.asDict() for r in checks.limit(12).collect()]
     rows = [r.asDict() for r in findings.limit(most).collect()]
     cell = lambda v: f"<td>{html.escape(str('' if v is None else v))}</td>"

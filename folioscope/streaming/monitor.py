@@ -13,12 +13,16 @@ from folioscope.operators.runs import fingerprint
 
 
 def fold(spark: SparkSession, findings_dir: str, schema: str, out: str, checkpoint: str) -> None:
-    """Appends each new run's distinct fingerprints, with their worst level, to the table at `out`, partitioned by run."""
+    """Adds each new run's distinct fingerprints, with their worst level, to the table at `out`, partitioned by `epoch` and run.
+
+    A batch is a partition of its own, which a repeated batch writes anew, so a restart between the write and the stream's own
+    commit counts nothing twice.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-        rows = batch.groupBy("run_id", fingerprint().alias("fingerprint")).agg(F.min(rank).alias("worst"), F.count("*").alias("n"), F.lit(epoch).alias("epoch"))
-        rows.write.mode("append").partitionBy("run_id").parquet(out)
+        rows = batch.groupBy("run_id", fingerprint().alias("fingerprint")).agg(F.min(rank).alias("worst"), F.count("*").alias("n"))
+        rows.write.mode("overwrite").partitionBy("run_id").parquet(f"{out}/epoch={epoch}")
 
     stream = spark.readStream.schema(schema).parquet(findings_dir)
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
