@@ -31,15 +31,12 @@ def html_main(spark, sf_dir):
     return H.main_elements(doc_pages(spark, sf_dir)).select("page", "via", "chars")
 
 
-ISLANDS = [("a", '<script id="data">{"intro": {"body": "The guide tells you how the index works and what you can do with it in your own app, for this is the way."}}</script>'), ("b", '<script>window.state = {"k": ["short", "https://x.example/a"]};</script>'), ("c", "<script>var x = 1</script><p>no data</p>")]
-
-
 def html_islands(spark, sf_dir):
-    return H.best_text(spark.createDataFrame(ISLANDS, "page string, text string"))
+    return H.best_text(doc_pages(spark, sf_dir))
 
 
 def html_payloads(spark, sf_dir):
-    return H.payloads(spark.createDataFrame(ISLANDS, "page string, text string"))
+    return H.payloads(doc_pages(spark, sf_dir))
 
 
 def page_first_heading(spark, sf_dir):
@@ -64,8 +61,7 @@ def link_crawl(spark, sf_dir):
 
 
 XML = [('<urlset><url><loc> https://x.example/a </loc></url><url><loc>https://x.example/b?x=1&amp;y=2</loc></url></urlset>',)]
-ROBOTS = [("User-agent: *\nDisallow: /private\nAllow: /private/open\n\nUser-agent: Bot\nUser-agent: Other\nCrawl-delay: 2\nDisallow: /\n",)]
-URLS = [(1, "https://x.example/private/a"), (2, "https://x.example/private/open/b"), (3, "https://x.example/c"), (4, "https://x.example")]
+ROBOTS = [("User-agent: *\nDisallow: /v1/faq\nAllow: /v1/faq/choose\nDisallow: /v1/learn/\n\nUser-agent: Bot\nUser-agent: Other\nCrawl-delay: 2\nDisallow: /\n",)]
 
 
 def sitemap(spark, sf_dir):
@@ -77,7 +73,7 @@ def robots_rules(spark, sf_dir):
 
 
 def robots_allowed(spark, sf_dir):
-    return P.allowed(spark.createDataFrame(URLS, "pos bigint, url string"), robots_rules(spark, sf_dir), "mine")
+    return P.allowed(doc_pages(spark, sf_dir).filter("url IS NOT NULL").select("page", "url"), robots_rules(spark, sf_dir), "mine")
 
 
 API = [('{"data": {"items": [{"id": "1", "attributes": {"title": "A", "body": "text a"}}, {"id": "2", "attributes": [{"title": "B", "body": "text b"}]}, {"id": "3", "attributes": {"title": "C", "body": " "}}]}, "links": {"next": "https://x.example/2"}}',)]
@@ -103,13 +99,13 @@ SQL = {
     "page_areas": f"WITH {PAGES}, a AS (SELECT regexp_replace(path, '^v1/', '') AS p FROM pg) SELECT CASE WHEN instr(p, '/') > 0 THEN split_part(p, '/', 1) ELSE '(root)' END AS area, count(*) AS n FROM a GROUP BY 1",
     "url_filter": f"WITH {PAGES} SELECT url, min(CAST(split_part(page, '#', -1) AS BIGINT)) AS pos FROM pg WHERE regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) = 'docs.zigralo.example' AND NOT regexp_matches(url, '/faq/') AND NOT regexp_matches(url, '\\?') AND regexp_matches(url, '/v1/') GROUP BY url",
     "sitemap": f"WITH {values('x', 'xml', XML)}, l AS (SELECT regexp_extract_all(xml, '(?is)<loc>\\s*(.*?)\\s*</loc>', 1) AS u FROM x) SELECT CAST(generate_subscripts(u, 1) - 1 AS INT) AS pos, replace(unnest(u), '&amp;', '&') AS url FROM l",
-    "robots_allowed": f"WITH {values('u', 'pos, url', URLS)} SELECT CAST(pos AS BIGINT) AS pos, url FROM u WHERE NOT regexp_matches(url, '^https://x.example/private') OR regexp_matches(url, '^https://x.example/private/open')",
+    "robots_allowed": f"WITH {PAGES}, u AS (SELECT page, url, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^#]*)', 1) AS p FROM pg WHERE url IS NOT NULL) SELECT page, url FROM u WHERE NOT starts_with(p, '/v1/learn/') AND (NOT starts_with(p, '/v1/faq') OR starts_with(p, '/v1/faq/choose'))",
     "safe_paths": f"WITH {PAGES} SELECT page, CASE WHEN regexp_matches(path, '\\.mdx?$') THEN path ELSE path || '.md' END AS file FROM pg",
-    "html_payloads": f"""WITH {values('x', 'page, text', ISLANDS)}, t AS (SELECT page, unnest(regexp_extract_all(text, '(?is)<script\\b([^>]*)>(.*?)</script>', 1)) AS attrs, unnest(regexp_extract_all(text, '(?is)<script\\b([^>]*)>(.*?)</script>', 2)) AS body FROM x)
+    "html_payloads": f"""WITH {PAGES}, t AS (SELECT page, unnest(regexp_extract_all(text, '(?is)<script\\b([^>]*)>(.*?)</script>', 1)) AS attrs, unnest(regexp_extract_all(text, '(?is)<script\\b([^>]*)>(.*?)</script>', 2)) AS body FROM pg)
         SELECT page, coalesce(nullif(regexp_extract(attrs, 'id="([^"]+)"', 1), ''), nullif(regexp_extract(body, 'window\\.(\\w+)\\s*=', 1), ''), nullif(regexp_extract(body, '^\\s*var (\\w+)\\s*=', 1), ''), '(anonymous)') AS name, CAST(length(body) AS INT) AS size,
         regexp_matches(body, '^\\s*[\\[{{]') OR regexp_matches(body, '=\\s*[{{\\[]') AS json_like FROM t WHERE trim(body) <> ''""",
     "api_pages": f"""WITH {values('r', 'response', API)}, i AS (SELECT unnest(CAST(json_extract(response, '$.data.items') AS JSON[])) AS item FROM r),
         f AS (SELECT item->>'$.id' AS page, coalesce(item->>'$.attributes.body', item->>'$.attributes[0].body') AS text, coalesce(item->>'$.attributes.title', item->>'$.attributes[0].title') AS title FROM i)
         SELECT page, text, title, '' AS url, '' AS revision FROM f WHERE trim(text) <> ''""",
-    "robots_rules": "SELECT * FROM (VALUES ('*', 'disallow', '/private', NULL), ('*', 'allow', '/private/open', NULL), ('bot', 'crawl-delay', NULL, CAST(2 AS DOUBLE)), ('other', 'crawl-delay', NULL, CAST(2 AS DOUBLE)), ('bot', 'disallow', '/', NULL), ('other', 'disallow', '/', NULL)) t(agent, rule, path, crawl_delay)",
+    "robots_rules": "SELECT * FROM (VALUES ('*', 'disallow', '/v1/faq', NULL), ('*', 'allow', '/v1/faq/choose', NULL), ('*', 'disallow', '/v1/learn/', NULL), ('bot', 'crawl-delay', NULL, CAST(2 AS DOUBLE)), ('other', 'crawl-delay', NULL, CAST(2 AS DOUBLE)), ('bot', 'disallow', '/', NULL), ('other', 'disallow', '/', NULL)) t(agent, rule, path, crawl_delay)",
 }
