@@ -18,6 +18,10 @@ def structure_issues(spark, sf_dir):
     return S.issues(doc_pages(spark, sf_dir))
 
 
+def structure_places(spark, sf_dir):
+    return S.issues(doc_pages(spark, sf_dir)).select("check_id", "level", "page", "line")
+
+
 def structure_by_check(spark, sf_dir):
     return S.issues(doc_pages(spark, sf_dir)).groupBy("check_id", "level").agg(F.count("*").alias("n"))
 
@@ -83,7 +87,7 @@ def structure_gate(spark, sf_dir):
     return metrics.gate(S.issues(doc_pages(spark, sf_dir)).withColumnRenamed("level", "severity"), "error")
 
 
-QUERIES = {f.__name__: f for f in (structure_issues, structure_by_check, headings, heading_skip, multiple_h1, duplicate_heading, empty_heading, page_titles, missing_title, title_not_unique, fence_labels, callouts, table_checks, placeholder_unexplained, policy_excluded, structure_report, structure_gate)}
+QUERIES = {f.__name__: f for f in (structure_issues, structure_places, structure_by_check, headings, heading_skip, multiple_h1, duplicate_heading, empty_heading, page_titles, missing_title, title_not_unique, fence_labels, callouts, table_checks, placeholder_unexplained, policy_excluded, structure_report, structure_gate)}
 
 H = f"""{LINES}, hd AS (SELECT page, line, CAST(length(regexp_extract(text, '^(#{{1,6}})[ \\t]+(.*?)[ \\t\\r]*$', 1)) AS INT) AS level, regexp_extract(text, '^(#{{1,6}})[ \\t]+(.*?)[ \\t\\r]*$', 2) AS title
        FROM ln WHERE regexp_matches(text, '^(#{{1,6}})[ \\t]+(.*?)[ \\t\\r]*$'))"""
@@ -146,4 +150,12 @@ _PARTS += [
 ]
 _ALL = " UNION ALL ".join(_PARTS)
 SQL["structure_by_check"] = f"SELECT check_id, level, count(*) AS n FROM ({_ALL}) GROUP BY check_id, level"
+_AT = [f"SELECT '{c}' AS check_id, '{level}' AS level, page, line FROM {_inner(c)}" for c, level in _KIND.items() if c != "placeholder_unexplained"]
+_AT += [
+    f"""SELECT 'placeholder_unexplained', 'suggestion', p.page, min(l.line) FROM {_inner("placeholder_unexplained")} p
+        JOIN (WITH {LINES} SELECT page, line, raw FROM ln) l ON l.page = p.page AND regexp_matches(l.raw, '\\b' || p.name || '\\b') GROUP BY p.page, p.name"""
+]
+_AT += [f"SELECT check_id, level, page, line FROM {_inner(c)}" for c in ("fence_labels", "callouts", "table_checks")]
+_AT += [p.replace("'warning' FROM", "'warning', page, 1 FROM", 1) for p in _PARTS[-2:]]
+SQL["structure_places"] = f"SELECT check_id, level, page, CAST(line AS INT) AS line FROM ({' UNION ALL '.join(_AT)})"
 SQL["structure_gate"] = f"SELECT count_if(level = 'error') AS failing, count(*) AS total FROM ({_ALL})"
